@@ -31,10 +31,26 @@ CELLS, REMEMBERED = 1 << 18, 300_000
 #: Characters that are split into pieces at once.
 LONG_TEXT = 1 << 20
 
+#: Letters and numbers that the regex module knows and Unicode 16, to which the tiktoken library keeps, doesn't.
+LATER = {
+    r"\p{L}": (
+        "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf "
+        "10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 "
+        "187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 "
+        "1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed "
+        "1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+    ),
+    r"\p{N}": "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6",
+}
+
 _NONE = np.uint32(0xFFFFFFFF)
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _set(ranges: str) -> str:
+    return "".join("-".join(rf"\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges.split())
+
+
 class PairTable:
     """Open addressing from (left id, right id) to the id of the merged token, looked up for whole arrays."""
 
@@ -83,6 +99,10 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.later, strict = regex.compile(f"[{''.join(map(_set, LATER.values()))}]"), pattern
+        for name, ranges in LATER.items():
+            strict = strict.replace(name, f"[{name}--[{_set(ranges)}]]")
+        self.strict = regex.compile(strict, regex.V1)
         n = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * n
         for token, i in ranks.items():
@@ -174,6 +194,10 @@ class BytePairs:
                     begin = end
         return found
 
+    def pattern_for(self, text: str) -> regex.Pattern:
+        """The pattern itself, or where the text holds characters of a later Unicode, its slower exact form."""
+        return self.strict if not text.isascii() and self.later.search(text) else self.pattern
+
     def learn(self, pieces: set[str]) -> None:
         """Encodes what is not yet known, in one go; forgets all else when too much would be known."""
         new = pieces.difference(self.known)
@@ -184,13 +208,13 @@ class BytePairs:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers. For texts of up to about LONG_TEXT in all."""
-        split = [self.pattern.findall(t) for t in texts]
+        split = [self.pattern_for(t).findall(t) for t in texts]
         self.learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
     def encode_long(self, text: str) -> bytes:
         """The same for one text of any length, holding a bounded number of pieces at a time."""
-        found, out = (m.group() for m in self.pattern.finditer(text)), []
+        found, out = (m.group() for m in self.pattern_for(text).finditer(text)), []
         while pieces := list(itertools.islice(found, 100_000)):
             self.learn(set(pieces))
             out.append(b"".join(map(self.known.__getitem__, pieces)))
