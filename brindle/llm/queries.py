@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -32,3 +33,38 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import bpe
 
     return bpe.encode_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op1_langid")
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of documents, learnt from two thirds of them."""
+    from brindle.llm import langid
+
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return langid.identify(docs, held_out).withColumn("held_out", held_out)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text of documents, learnt from four fifths of the labels."""
+    from brindle.llm import quality
+
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), held_out=held_out).withColumn("held_out", held_out)
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are 80 per cent alike."""
+    from brindle.llm import neardup
+
+    return neardup.near_duplicates(load(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark, with the item and the best window."""
+    from brindle.llm import decontam
+
+    return decontam.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
