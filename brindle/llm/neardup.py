@@ -7,9 +7,10 @@ for accidental collisions of the compressed form, estimates the similarity of a
 are five standard deviations below the threshold. What remains is confirmed on the full sets.
 
 Equal sets are one class from the start, so copies are never expanded. Within a band's bucket each class is first
-compared with the smallest one only; components of the confirmed links follow; only members of one bucket that are
-then still in different components are compared with each other. So no link is lost that the bands can see, and
-buckets of mutual near copies cost as many comparisons as members. At similarity 0.8 a pair shares none of the 24
+compared with the smallest one only; components of the confirmed links follow. Members of one bucket that are then
+still in different components (documents around a passage that thousands share, say) are not paired by bucket, whose
+pairs grow with its square, but by their rarest shingles, one of which similar sets must share. So no link is lost
+that the bands can see, and buckets of mutual near copies cost as many comparisons as members. At similarity 0.8 a pair shares none of the 24
 bands with a probability of about 3e-6.
 
 Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0) and are linked with
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm import shared
@@ -131,6 +132,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _tokens(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, n, h) for every distinct shingle of the texts."""
+
+    def run(batches):
+        for batch in batches:
+            ids, column = batch.column(0).to_pylist(), tx.raw(batch.column(1))
+            for lo in range(0, len(ids), 256):
+                sets = list(shingle_sets(column[lo : lo + 256], k))
+                n = [len(u) for u in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo : lo + 256], np.int64), n)), pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "n", "h"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, h long")
+
+
+def _sharing(tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, that share one of their rarest shingles, as many as similar sets must.
+
+    Of a set's n shingles in order of rarity, a similar set must have one of the first n - ceil(percent / 100 * n) + 1.
+    Shingles that only one set has come first, so they are only counted.
+    """
+    common = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    known = tokens.join(common, "h")
+    order = Window.partitionBy("rep").orderBy("df", "h")
+    whole = Window.partitionBy("rep").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = known.withColumn("r", F.row_number().over(order)).withColumn("common", F.count("*").over(whole))
+    prefix = ranked.filter(f"r + n - common <= n - ceil(n * {percent} / 100D) + 1").select("rep", "n", "h")
+    prefix = shared.written(prefix, "prefix")
+    other = prefix.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    pairs = prefix.select("h", F.col("rep").alias("a"), F.col("n").alias("na")).join(other, "h")
+    return pairs.filter(f"a > b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
@@ -141,29 +174,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = sk.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = shared.written(classes.filter("rep IS NOT NULL"), "classes")
     bands = classes.select("rep", F.posexplode("regs")).select("rep", F.xxhash64("pos", "col").alias("bucket"))
-    shareds = bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last")
-    members = shared.written(bands.join(shareds.select("bucket", "lead"), "bucket"), "members")
+    several = bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last")
+    members = shared.written(bands.join(several.select("bucket", "lead"), "bucket"), "members")
+    # a rep's class has one set of shingles, whichever of its rows the text comes from
+    texts = shared.written(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
-        likely = shared.written(_estimated(pairs, classes, percent), "likely")
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        # a rep's class has one set of shingles, whichever of its rows the text comes from
-        texts = shared.written(docs.join(wanted, "doc_id", "left_semi"), "texts")
-        return shared.written(_confirmed(likely, texts, k, percent), "links")
+        return shared.written(_confirmed(_estimated(pairs, classes, percent), texts, k, percent), "links")
 
-    first = members.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    tried = shared.written(first, "tried")
-    found = links(tried)
-    roots = connected(found)
+    tried = shared.written(members.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "tried")
+    roots = connected(links(tried))
 
     # the rest: members of a bucket whom the comparison with the smallest did not bring together
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-    apart = shared.written(placed.join(split, "bucket"), "apart")
-    other = apart.select("bucket", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-    pairs = apart.select("bucket", F.col("rep").alias("a"), "root").join(other, "bucket").filter("a > b AND root <> root_b").select("a", "b").distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    more = links(pairs)
+    apart = placed.join(split, "bucket").select("rep", "root").distinct()
+    apart = shared.written(apart, "apart")
+    tokens = _tokens(texts.join(apart.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
+    pairs = _sharing(shared.written(tokens, "tokens"), percent).join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.join(apart.select(F.col("rep").alias("a"), F.col("root").alias("x")), "a").join(apart.select(F.col("rep").alias("b"), F.col("root").alias("y")), "b")
+    more = links(pairs.filter("x <> y").select("a", "b"))
     if not more.isEmpty():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 

@@ -68,3 +68,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import decontam
 
     return decontam.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+#: Stands for a secret that a deployment would read from its own store.
+DEMO_KEY = b"not a secret: for queries on synthetic tables only"
+
+
+@query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents with personal data replaced by format-preserving pseudonyms."""
+    from brindle.llm import pii
+
+    return pii.pseudonymised(load(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages written to WARC archives with revisits, and read back by byte ranges."""
+    from brindle.llm import warc
+
+    return warc.round_trip(load(spark, sf_dir, "pages"), min_bytes=0)
