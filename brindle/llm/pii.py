@@ -180,7 +180,8 @@ class Pseudonyms:
                 return False
             return padded or len(f"{d.month}{d.day}") == len(f"{month}{day}") and len(str(d.day)) == len(str(day))
 
-        tweak = f"date|{first}|{sep}|{day_first}|{padded}|{day > 12}|{'' if padded else (len(str(month)), len(str(day)))}".encode()
+        told_by = first == 2 and sep != "." and day > 12
+        tweak = f"date|{first}|{sep}|{day_first}|{padded}|{told_by}|{'' if padded else (len(str(month)), len(str(day)))}".encode()
         new = datetime.date.fromordinal(start + self.feistel.permute(at.toordinal() - start, n, tweak, told))
         m, d = (f"{new.month:02d}", f"{new.day:02d}") if padded else (str(new.month), str(new.day))
         return sep.join([str(new.year), m, d] if first == 0 else [d, m, str(new.year)] if day_first else [m, d, str(new.year)])
