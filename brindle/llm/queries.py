@@ -88,3 +88,30 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm import warc
 
     return warc.round_trip(load(spark, sf_dir, "pages"), min_bytes=0)
+
+
+@query("op9_repeats")
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents without the bytes of 200-byte strings that occur more than once."""
+    from brindle.llm import repeats
+
+    return repeats.without_repeats(load(spark, sf_dir, "documents"))
+
+
+@query("op5_compaction", "SELECT doc_id, length(text) AS n_chars, sha256(text) AS text_sha256, source FROM documents")
+def op5_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents appended as small shards, compacted, and read back through the newest manifest."""
+    from brindle.llm import compaction, shared
+
+    store = compaction.ShardStore(spark, shared.fresh(spark, "shards"))
+    store.append(load(spark, sf_dir, "documents"))
+    store.compact()
+    return store.read().select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), "source")
+
+
+@query("op3_nearest")
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of embeddings of every row whose vec_id is divisible by 20."""
+    from brindle.llm import ann
+
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
