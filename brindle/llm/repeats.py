@@ -7,11 +7,11 @@ Three narrow passes over the texts, which are never shuffled:
    its context, all the bytes that strings of LENGTH around it can cover. Choices that occur once are done with.
    Contexts that occur twice are covered as they stand.
 2. For what is left (equal windows in different contexts: the edges of repeated passages) the contexts are read again
-   from the places noted and brought together by fingerprint. In blocks of bounded size, a Burrows-Wheeler transform
-   is built and its intervals are expanded breadth-first by backward extension: strings of 1, 2, 3 ... bytes, each
-   right boundary that is met for the first time telling the common prefix there, and the expansion stops at LENGTH.
-   Suffixes with no boundary between them share LENGTH bytes. Fingerprints with more contexts than one block should
-   hold (a passage in a third of all documents) are resolved by grouping hashes of their LENGTH-byte strings instead.
+   from the places noted and brought together by fingerprint. Within a fingerprint they are aligned, so the
+   Burrows-Wheeler transform is kept in its positional form, and all intervals are extended backward together, a byte
+   a step: the common prefixes of neighbours grow from 0 and are followed up to LENGTH, no further. Strings of LENGTH
+   bytes that a neighbour shares are repeated. Fingerprints with more contexts than one task should hold (a passage in
+   a third of all documents) are resolved by grouping hashes of their LENGTH-byte strings instead.
 3. Each text is read once more, next to the intervals noted for its place, and cut.
 
 Places are (file, row in the file), which do not depend on how files are split into tasks, so lost tasks can be run
@@ -39,8 +39,8 @@ from brindle.llm import shared
 from brindle.llm import text as tx
 
 LENGTH, GRAM = 200, 32
-#: Bytes of contexts in one transform; contexts of a fingerprint beyond which hashes are grouped.
-BLOCK, HOT = 1 << 20, 6000
+#: Contexts in one transform; contexts of a fingerprint beyond which hashes are grouped.
+BLOCK, HOT = 8192, 100_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SEPARATOR = 0xFF  # not in UTF-8
 
@@ -100,88 +100,39 @@ def context_hashes(buf: np.ndarray, p: np.ndarray, length: int, gram: int) -> np
     return out
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places of the text in order of the ``depth`` bytes (or more) that follow them, by prefix doubling."""
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    done = 8
-    while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.uint64)
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        if done >= depth or new.all():
-            return order
-        key = rank << np.uint64(32)
-        key[: n - done] |= rank[done:] if done < n else 0
-        done *= 2
-
-
-def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Where, in suffix order, neighbours share fewer than ``length`` bytes: True at the later one of the two.
-
-    Breadth-first over the intervals of strings without separator: all strings of l bytes at once, extended backward
-    by each byte that precedes them. The first to end at a boundary tells that l bytes less one are common there, and
-    only it is extended further. Boundaries still unset when the strings have ``length`` bytes are common prefixes of
-    at least that; those next to suffixes with a separator in reach are of no concern.
-    """
-    n = len(text)
-    bwt = text[order - 1].astype(np.int64)
-    rows = np.argsort(bwt, kind="stable")
-    keys = bwt[rows] * n + rows  # how many c come before row i: the place of c * n + i among these, less that of c * n
-    before = np.full(n, -1, np.int64)  # the row above with the same byte
-    same = bwt[rows[1:]] == bwt[rows[:-1]]
-    before[rows[1:][same]] = rows[:-1][same]
-    cut = np.zeros(n + 1, bool)
-    cut[0] = cut[n] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    for _ in range(length):
-        size = hi - lo
-        ends = np.cumsum(size)
-        row = np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)
-        first = (before[row] < np.repeat(lo, size)) & (bwt[row] != _SEPARATOR)
-        row = row[first]
-        upto = np.repeat(hi, size)[first]
-        # rows of one byte are consecutive in the first column: row ``row`` itself goes to the new interval's start
-        new_lo = np.searchsorted(keys, bwt[row] * n + row)
-        new_hi = np.searchsorted(keys, bwt[row] * n + upto)
-        fresh = ~cut[new_hi]
-        lo, hi = new_lo[fresh], new_hi[fresh]
-        cut[hi] = True
-        if not len(lo):
-            break
-    return cut[:n]
-
-
-def repeated(contexts: list[bytes], origins: list[tuple[int, int]], many: list[bool], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context the starts in it of strings of ``length`` bytes that also start at another origin.
-
-    origins: (text, place in it of the context's first byte), so that overlapping contexts of a text aren't taken for
-    repeats; many: whether the context stands for several places.
+def repeated_starts(cells: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
+    """Where strings of ``length`` bytes begin that another row of the same bucket has at the same column.
+
+    cells: a row of bytes for each context, aligned by its fingerprint, _SEPARATOR where the text has ended. bucket:
+    the rows' fingerprints as ascending numbers. The transform is kept column by column: from the last column on, the
+    rows of a bucket stand in the order of the bytes that follow, together with the common prefix of each with the row
+    before. Extending all strings backward by one byte is a stable sort by that byte; rows that it leaves or makes
+    neighbours share one byte more than the least of what lay between them, others nothing. Prefixes are counted up to
+    ``length`` and no further.
     """
-    size = np.array([len(c) for c in contexts])
-    begin = np.concatenate(([0], np.cumsum(size + 1)))
-    text = np.frombuffer(bytes([_SEPARATOR]).join(contexts) + bytes([_SEPARATOR]), np.uint8)
-    which = np.repeat(np.arange(len(contexts)), size + 1)
-    offset = np.arange(len(text)) - begin[which]
-    order = suffix_order(text, length)
-    group = np.cumsum(boundaries(text, order, length))
-    valid = offset[order] + length <= size[which[order]]
-    order, group = order[valid], group[valid]
-    if not len(order):
-        return [np.zeros(0, np.int64)] * len(contexts)
-    ids = {t: i for i, t in enumerate(dict.fromkeys(o[0] for o in origins))}
-    base = np.array([ids[t] << 40 | p for t, p in origins], np.int64)
-    origin = base[which[order]] + offset[order]
-    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    several = np.minimum.reduceat(origin, head) != np.maximum.reduceat(origin, head)
-    several |= np.logical_or.reduceat(np.array(many)[which[order]], head)
-    hit = np.sort(order[np.repeat(several, np.diff(np.append(head, len(order))))])
-    return np.split(offset[hit], np.searchsorted(which[hit], np.arange(1, len(contexts))))
+    n, width = cells.shape
+    out = np.zeros((n, max(0, width - length + 1)), bool)
+    order, common = np.arange(n), np.zeros(n + 1, np.int16)
+    base = bucket.astype(np.int64) << 8
+    columns = np.ascontiguousarray(cells.T)
+    for c in range(width - 1, -1, -1):
+        key = base + columns[c][order]
+        turn = np.argsort(key, kind="stable")
+        key = key[turn]
+        shared_byte = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] & 0xFF != _SEPARATOR))
+        above, below = turn[shared_byte], turn[shared_byte + 1]
+        least = common[below]
+        far = np.flatnonzero(below != above + 1)
+        if len(far):
+            ranges = np.stack((above[far] + 1, below[far] + 1), axis=1).ravel()
+            least[far] = np.minimum.reduceat(common, ranges)[::2]
+        common = np.zeros(n + 1, np.int16)
+        common[shared_byte + 1] = np.minimum(least + 1, length)
+        order = order[turn]
+        if c <= width - length:
+            enough = common >= length
+            out[order[enough[:-1] | enough[1:]], c] = True
+    return out
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,34 +239,42 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], [x.split()[0] for x in _CONTEXT.split(", ")])
 
 
-def _intervals(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["fid", "row", "start", "stop"])
-
-
-def _expanded(contexts: DataFrame, length: int, block: int) -> DataFrame:
+def _expanded(contexts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """Intervals of single contexts that are repeated, by transforms over blocks of whole fingerprints."""
-
-    def work(held: list[tuple]) -> pa.RecordBatch:
-        found = repeated([r[7] for r in held], [((r[3], r[4]), r[6]) for r in held], [r[2] for r in held], length)
-        out = []
-        for r, starts in zip(held, found, strict=True):
-            if len(starts) and not r[2]:
-                s, e = merged(starts + r[6], starts + r[6] + length)
-                out += [(r[3], r[4], int(a), int(b)) for a, b in zip(s, e, strict=True)]
-        return _intervals(out)
+    reach = length - gram
+
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        fp, many, fid, row, pos, start = (t.column(c).to_numpy() for c in ("fp", "many", "fid", "row", "pos", "start"))
+        bucket = np.cumsum(np.concatenate(([False], fp[1:] != fp[:-1])))
+        cells = np.full((len(fp), reach + length), _SEPARATOR, np.uint8)
+        for i, (b, at) in enumerate(zip(t.column("bytes").to_pylist(), (reach - (pos - start)).tolist(), strict=True)):
+            cells[i, at : at + len(b)] = np.frombuffer(b, np.uint8)
+        hit = repeated_starts(cells, bucket, length)
+        hit[many] = False
+        rows = np.flatnonzero(hit.any(axis=1))
+        hit = hit[rows]
+        # starts in a context lie closer than ``length``, so what they cover is one run
+        first, last = hit.argmax(axis=1), hit.shape[1] - 1 - hit[:, ::-1].argmax(axis=1)
+        origin = pos[rows] - reach
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fid[rows], row[rows], origin + first, origin + last + length)], ["fid", "row", "start", "stop"])
 
     def run(batches):
-        held, size, last, current = [], 0, None, []
+        held, size, last = [], 0, None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != last:
-                    if size >= block:
-                        yield work(held)
-                        held, size = [], 0
-                    last = r[0]
-                held.append(r)
-                size += len(r[7]) + 1
+            fp = batch.column(0).to_numpy()
+            new = np.flatnonzero(np.concatenate(([len(fp) > 0 and fp[0] != last], fp[1:] != fp[:-1])))
+            at = 0
+            while at < len(fp):  # a block ends before the first new fingerprint beyond its size
+                cut = new[new > at] if size + len(fp) - at > block else new[:0]
+                cut = cut[size + cut - at >= min(block, size + len(fp) - at)] if len(cut) else cut
+                if size >= block and at in new:
+                    yield work(held)
+                    held, size = [], 0
+                end = int(cut[0]) if len(cut) else len(fp)
+                held.append(batch.slice(at, end - at))
+                size, at = size + end - at, end
+            last = fp[-1] if len(fp) else last
         if held:
             yield work(held)
 
@@ -357,7 +316,7 @@ def repeats(placed: DataFrame, length: int = LENGTH, gram: int = GRAM, block: in
     mixed = kinds.groupBy("fp").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 AND least = 1").select("fp", "d")
     wanted = kinds.join(mixed, "fp").select("place.fid", "place.row", "place.pos", F.col("n"), "fp", "d")
     contexts = shared.written(_contexts(placed, _noted(wanted, "wanted"), length, gram), "bytes")
-    found = whole.filter(f"stop - start >= {length}").union(_expanded(contexts.filter(F.col("d") <= hot), length, block))
+    found = whole.filter(f"stop - start >= {length}").union(_expanded(contexts.filter(F.col("d") <= hot), length, gram, block))
     if not contexts.filter(F.col("d") > hot).limit(1).isEmpty():
         found = found.union(_grouped(contexts.filter(F.col("d") > hot), length))
     return _noted(found, "intervals")
