@@ -54,7 +54,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), held_out=held_out).withColumn("held_out", held_out)
 
 
-@query("op7_near_duplicates")
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query(
+    "op7_near_duplicates",
+    rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    sized AS (SELECT s.doc_id, s.s, n.n FROM s JOIN n USING (doc_id)),
+    e AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+    SELECT r.x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id, min(r.y) = r.x AS kept FROM reach r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x""",
+)
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles are 80 per cent alike."""
     from brindle.llm import neardup
@@ -62,7 +76,21 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-@query("op2_decontamination")
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '')"
+
+
+@query(
+    "op2_decontamination",
+    f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    ds AS (SELECT doc_id, len(w) AS size, p, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM d)),
+    bs AS (SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, len(w) AS n, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM (SELECT *, unnest(range(len(w) - 4)) AS p FROM b)) GROUP BY item_id, n, s),
+    hits AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(p, size - n)) AS start FROM ds JOIN bs USING (s)),
+    v AS (SELECT h.doc_id, h.item_id, h.start, ds.s, count(*) AS c FROM hits h JOIN ds ON ds.doc_id = h.doc_id AND ds.p BETWEEN h.start AND h.start + h.n - 5 GROUP BY ALL),
+    m AS (SELECT v.doc_id, v.item_id, v.start, sum(least(v.c, coalesce(bs.c, 0))) AS both_, sum(v.c) AS a FROM v LEFT JOIN bs ON bs.item_id = v.item_id AND bs.s = v.s GROUP BY ALL),
+    t AS (SELECT item_id, sum(c) AS t FROM bs GROUP BY item_id),
+    r AS (SELECT doc_id, item_id, start, CAST(both_ AS DOUBLE) / CAST(a + t - both_ AS DOUBLE) AS similarity FROM m JOIN t USING (item_id) WHERE 100 * both_ >= 80 * (a + t - both_))
+    SELECT doc_id, item_id, similarity, CAST(start AS INTEGER) AS start_word FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1""",
+)
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold passages of the benchmark, with the item and the best window."""
     from brindle.llm import decontam
