@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brindle.functions import scalar
+from brindle.operators import relational as R
+from brindle.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +35,356 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query(
-    "tpch_q01",
-    """SELECT l_returnflag, l_linestatus, CAST(round(sum(l_quantity), 2) AS DOUBLE) AS sum_qty,
-    CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DOUBLE) AS sum_disc_price,
-    round(avg(l_quantity), 4) AS avg_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02'
-    GROUP BY l_returnflag, l_linestatus""",
+def spark_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Spark SQL over the tables that the text names."""
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", text):
+            load(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(text)
+
+
+def same(name: str, text: str, oracle: str | None = None) -> None:
+    """Registers a query in SQL; oracle only where DuckDB spells it differently."""
+    QUERIES[name] = lambda spark, d: spark_sql(spark, d, text)
+    ORACLE_SQL[name] = oracle or text
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for tables that a query makes: in the cluster's shared folder, where one is named."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared and shared.startswith("file:"):
+        shared = "/" + shared[5:].lstrip("/")
+    return tempfile.mkdtemp(prefix="brindle-", dir=shared if shared and "://" not in shared else None)
+
+
+# Scans, projections, predicates
+
+same("scan_project", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
+same("select_star", "SELECT * FROM nation")
+same("aliases", "SELECT n.n_name AS nation, r.r_name AS region FROM nation AS n JOIN region r ON n.n_regionkey = r.r_regionkey")
+
+
+@query("values_scan", "SELECT * FROM (VALUES (1, CAST(2.5 AS DOUBLE), 'a'), (2, 3, NULL), (NULL, 4, 'c')) AS t(i, x, s)")
+def values_scan(spark, d):
+    return S.values(spark, ["i", "x", "s"], [(1, 2.5, "a"), (2, 3, None), (None, 4, "c")])
+
+
+@query("empty_source", "SELECT 1 AS one, 'x' AS s")
+def empty_source(spark, d):
+    return S.one_row(spark).select(F.lit(1).alias("one"), F.lit("x").alias("s"))
+
+
+same("filter_predicates", "SELECT l_orderkey, l_quantity, l_discount FROM lineitem WHERE (l_quantity >= 10 AND l_quantity < 24) AND (l_returnflag <> 'N' OR l_discount = 0.05) AND l_shipdate <= '1999-06-30'")
+same("comparison_operators", "SELECT p_partkey, p_size = 10 AS eq, p_size <> 10 AS ne, p_size < 10 AS lt, p_size <= 10 AS le, p_size > 10 AS gt, p_size >= 10 AS ge FROM part")
+same("null_logic", "SELECT o_orderkey, nullif(o_orderstatus, 'P') = 'O' AS eq, nullif(o_orderstatus, 'P') = 'O' AND o_totalprice > 1000 AS a, nullif(o_orderstatus, 'P') = 'O' OR o_totalprice > 1000 AS o FROM orders")
+
+
+@query("in_list", "SELECT p_partkey, p_size FROM part WHERE p_size IN (1, 7, 13, 49) AND p_brand IN ('Brand#1', 'Brand#3')")
+def in_list(spark, d):
+    return load(spark, d, "part").filter(R.in_list(F.col("p_size"), [1, 7, 13, 49]) & R.in_list(F.col("p_brand"), ["Brand#1", "Brand#3"])).select("p_partkey", "p_size")
+
+
+@query("not_in_list", "SELECT p_partkey FROM part WHERE p_size NOT IN (1, 2, 3)")
+def not_in_list(spark, d):
+    return load(spark, d, "part").filter(R.in_list(F.col("p_size"), [1, 2, 3], negated=True)).select("p_partkey")
+
+
+@query("not_in_list_null", "SELECT p_partkey FROM part WHERE p_size NOT IN (1, NULL)")
+def not_in_list_null(spark, d):
+    return load(spark, d, "part").filter(R.in_list(F.col("p_size"), [1, None], negated=True)).select("p_partkey")
+
+
+same("in_list_expressions", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (1 + 1, l_orderkey)")
+
+
+@query("like", "SELECT p_partkey, p_name, p_name LIKE '%e_' AS tail FROM part WHERE p_name LIKE '%a%' AND p_brand NOT LIKE 'Brand#1_'")
+def like(spark, d):
+    name, brand = F.col("p_name"), F.col("p_brand")
+    return load(spark, d, "part").filter(R.like(name, "%a%") & R.like(brand, "Brand#1_", negated=True)).select("p_partkey", "p_name", R.like(name, "%e_").alias("tail"))
+
+
+same("is_null", "SELECT event_id FROM events WHERE nullif(event_type, 'click') IS NULL AND nullif(user_id, 7) IS NOT NULL")
+same("predicate_pushdown", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900 AND o_orderstatus = 'F'")
+
+
+@query("delete_complement", "SELECT o_orderkey FROM orders WHERE NOT coalesce(nullif(o_orderstatus, 'P') = 'O', false)")
+def delete_complement(spark, d):
+    return R.not_where(load(spark, d, "orders"), F.expr("nullif(o_orderstatus, 'P') = 'O'")).select("o_orderkey")
+
+
+# Scalar functions
+
+same("arithmetic", "SELECT l_orderkey, l_linenumber, l_linenumber + 1 AS plus, l_linenumber - 10 AS minus, CAST(l_linenumber * l_partkey AS BIGINT) AS times, l_extendedprice / 4 AS quarter FROM lineitem")
+
+
+@query("int_division", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber // 2 AS INTEGER) AS half, CAST((0 - l_linenumber) // 2 AS INTEGER) AS neg, l_orderkey // 7 AS week, CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_orderkey // (l_linenumber - 1) AS BIGINT) END AS tried FROM lineitem")
+def int_division(spark, d):
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalar.int_div(n, F.lit(2), T.IntegerType()).alias("half"), scalar.int_div(-n, F.lit(2), T.IntegerType()).alias("neg"), scalar.int_div(k, F.lit(7), T.LongType()).alias("week"), scalar.try_int_div(k, n - 1, T.LongType()).alias("tried"))
+
+
+@query("upper_lower", "SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low FROM part")
+def upper_lower(spark, d):
+    return load(spark, d, "part").select("p_partkey", scalar.ascii_upper(F.col("p_name")).alias("up"), scalar.ascii_lower(F.col("p_brand")).alias("low"))
+
+
+same(
+    "casts",
+    "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(o_totalprice AS BIGINT) AS cut, CAST(CAST(o_orderkey AS STRING) AS INT) AS back, CAST(o_orderdate AS DATE) AS day, CAST('1996-02-29' AS DATE) AS leap, CAST(o_totalprice AS DECIMAL(15,2)) AS dec, o_orderkey::DOUBLE AS d FROM orders",
+    "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(trunc(o_totalprice) AS BIGINT) AS cut, CAST(CAST(o_orderkey AS VARCHAR) AS INTEGER) AS back, CAST(o_orderdate AS DATE) AS day, CAST('1996-02-29' AS DATE) AS leap, CAST(o_totalprice AS DECIMAL(15,2)) AS dec, o_orderkey::DOUBLE AS d FROM orders",
 )
-def tpch_q01(spark, d):
-    from pyspark.sql import functions as F
+same("array_literal", "SELECT p_partkey, array(1, 2, NULL) = array(1, 2, NULL) AS eq, array(1, 2) < array(1, 3) AS lt, size(array(1, 2, 3)) AS n FROM part", "SELECT p_partkey, [1, 2, NULL] = [1, 2, NULL] AS eq, [1, 2] < [1, 3] AS lt, CAST(len([1, 2, 3]) AS INTEGER) AS n FROM part")
+
+# Joins (J1-J11)
+
+
+@query("join_inner", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
+def join_inner(spark, d):
+    return R.equi_join(load(spark, d, "nation"), load(spark, d, "region"), [("n_regionkey", "r_regionkey")]).select("n_name", "r_name")
+
+
+@query("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000")
+def join_left(spark, d):
+    c, o = load(spark, d, "customer"), load(spark, d, "orders")
+    return R.equi_join(c, o, [("c_custkey", "o_custkey")], "left", o["o_totalprice"] > 200000).select("c_custkey", "o_orderkey")
+
+
+same("join_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 200000) o RIGHT JOIN customer ON c_custkey = o_custkey")
+same("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey < 60) s FULL JOIN (SELECT * FROM customer WHERE c_custkey >= 40 AND c_custkey < 100) c ON s_suppkey = c_custkey")
+same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+same("join_comma", "SELECT a.n_name AS x, b.n_name AS y FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+same("join_nonequi", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey OR a.n_regionkey = b.n_nationkey")
+same("join_left_nonequi", "SELECT r_regionkey, n_nationkey FROM region LEFT JOIN nation ON n_nationkey > r_regionkey * 8")
+same("join_multi_key", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
+same("join_multiway", "SELECT c_name, o_orderkey, l_linenumber, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity > 49 AND c_acctbal > 5000")
+same("join_null_keys", "SELECT a.k AS x, b.k AS y FROM (SELECT nullif(n_regionkey, 2) AS k FROM nation) a LEFT JOIN (SELECT nullif(r_regionkey, 3) AS k FROM region) b ON a.k = b.k")
+same("join_key_coercion", "SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON n_nationkey = s_suppkey")
+
+
+@query("join_salted", "SELECT e.event_id, t.weight FROM events e JOIN (SELECT DISTINCT event_type, length(event_type) AS weight FROM events) t ON e.event_type = t.event_type")
+def join_salted(spark, d):
+    e = load(spark, d, "events").select("event_id", "event_type")
+    kinds = e.select("event_type").distinct().withColumn("weight", F.length("event_type").cast("long"))
+    return R.salted_join(e, kinds, "event_type").select("event_id", "weight")
+
+
+# Semi and anti joins, subqueries
+
+
+@query("semi_in", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
+def semi_in(spark, d):
+    return R.semi_in(load(spark, d, "customer"), "c_custkey", load(spark, d, "orders").filter("o_totalprice > 150000"), "o_custkey").select("c_custkey")
+
+
+_NOT_IN = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT {} FROM orders WHERE o_totalprice > {})"
+
+
+@query("anti_not_in", _NOT_IN.format("o_custkey", 150000))
+def anti_not_in(spark, d):
+    return R.anti_not_in(load(spark, d, "customer"), "c_custkey", load(spark, d, "orders").filter("o_totalprice > 150000"), "o_custkey").select("c_custkey")
+
+
+@query("anti_not_in_null", _NOT_IN.format("nullif(o_custkey, 5)", 0))
+def anti_not_in_null(spark, d):
+    o = load(spark, d, "orders").withColumn("k", F.expr("nullif(o_custkey, 5)"))
+    return R.anti_not_in(load(spark, d, "customer"), "c_custkey", o, "k").select("c_custkey")
+
+
+same("anti_not_in_sql", "SELECT n_name FROM nation WHERE nullif(n_regionkey, 1) NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)")
+same("exists_correlated", "SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_quantity > 48)")
+same("not_exists_correlated", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c.c_custkey)")
+same("exists_uncorrelated", "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 1000)")
+same("scalar_uncorrelated", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
+same("scalar_in_select", "SELECT r_name, (SELECT max(n_nationkey) FROM nation) AS top, (SELECT n_nationkey FROM nation WHERE n_nationkey < 0) AS none FROM region")
+same("scalar_correlated_avg", "SELECT p_partkey, l_orderkey, l_quantity FROM part JOIN lineitem l ON p_partkey = l.l_partkey WHERE p_brand = 'Brand#3' AND l_quantity < (SELECT 0.5 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)")
+same("scalar_correlated_count", "SELECT c_custkey FROM customer c WHERE 0 = (SELECT count(*) FROM orders WHERE o_custkey = c.c_custkey)")
+
+
+@query("correlated_restricted", "SELECT p_partkey, (SELECT round(avg(l_quantity), 6) FROM lineitem WHERE l_partkey = p_partkey) AS mean FROM part WHERE p_brand = 'Brand#3'")
+def correlated_restricted(spark, d):
+    p, li = load(spark, d, "part").filter("p_brand = 'Brand#3'"), load(spark, d, "lineitem")
+    return R.correlated_aggregate(p, li, "p_partkey", "l_partkey", F.round(F.avg("l_quantity"), 6), "mean", restrict=True).select("p_partkey", "mean")
+
+
+same("derived_table", "SELECT region, n FROM (SELECT n_regionkey AS region, count(*) AS n FROM (SELECT * FROM nation WHERE n_nationkey > 3) x GROUP BY n_regionkey) y WHERE n > 3")
+same("derived_values", "SELECT k, s, n_name FROM (VALUES (1, 'a'), (2, 'b'), (99, 'c')) AS v(k, s) JOIN nation ON k = n_nationkey")
+same("cte_multi", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), rich AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000) SELECT c_custkey, round(total, 2) AS total FROM rich JOIN big ON c_custkey = o_custkey")
+
+# Aggregation
+
+same("agg_ungrouped", "SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines, round(avg(l_quantity), 6) AS mean, min(l_shipdate) AS first, max(l_returnflag) AS flag FROM lineitem")
+same("agg_empty", "SELECT count(*) AS n, count(l_quantity) AS known, sum(l_quantity) AS s, avg(l_quantity) AS m, min(l_quantity) AS lo, max(l_returnflag) AS hi FROM lineitem WHERE l_quantity < 0")
+
+
+@query("group_multi_key", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def group_multi_key(spark, d):
+    return R.aggregate(load(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], [F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty")])
+
+
+same("group_null_key", "SELECT nullif(o_orderstatus, 'P') AS k, count(*) AS n, count(nullif(o_orderpriority, '1-URGENT')) AS known FROM orders GROUP BY nullif(o_orderstatus, 'P')")
+same("group_alias", "SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY p")
+same("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > 1000000 AND count(*) > 5")
+same("agg_expression", "SELECT l_returnflag, round(max(l_extendedprice) + max(l_tax), 2) AS a, CAST(CAST(sum(l_linenumber) AS BIGINT) + count(*) AS BIGINT) AS b, round(sum(l_extendedprice * (1 - l_discount)), 2) AS c FROM lineitem GROUP BY l_returnflag")
+same("agg_decimal", "SELECT l_linestatus, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE), 2) AS s, CAST(max(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) AS hi FROM lineitem GROUP BY l_linestatus")
+same("agg_string_min_max", "SELECT p_type, min(p_name) AS lo, max(p_brand) AS hi FROM part GROUP BY p_type")
+same("agg_high_cardinality", "SELECT l_orderkey, l_partkey, count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem GROUP BY l_orderkey, l_partkey")
+same("distinct", "SELECT DISTINCT l_returnflag, l_linestatus, nullif(l_linenumber, 3) AS n FROM lineitem")
+same("sum_widening", "SELECT l_returnflag, CAST(sum(l_linenumber * 1000000000) AS BIGINT) AS s FROM (SELECT l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem) t GROUP BY l_returnflag")
+
+# Ordering (O1-O6)
+
+
+@query("order_nulls", "SELECT e.event_id, row_number() OVER (ORDER BY nullif(e.user_id, 7) ASC NULLS LAST, e.event_id DESC NULLS FIRST) AS place FROM events e")
+def order_nulls(spark, d):
+    e = load(spark, d, "events").withColumn("u", F.expr("nullif(user_id, 7)"))
+    ranked = e.orderBy(*R.ordered(e, ("u", "asc"), ("event_id", "desc"))).select("event_id")
+    path = work_folder(spark) + "/ranked"  # written in order, part by part, so that places follow
+    ranked.write.parquet(path)
+    got = spark.read.parquet(path).select("event_id", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("f"), F.col("_metadata.row_index").alias("i"))
+    sizes = {r.f: r["count"] for r in got.groupBy("f").count().collect()}  # one row a file
+    before, at = {}, 0
+    for f in sorted(sizes):
+        before[f], at = at, at + sizes[f]
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    return got.select("event_id", (base[F.col("f")] + F.col("i") + 1).cast("long").alias("place"))
+
+
+@query("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey NULLS LAST LIMIT 25")
+def top_n(spark, d):
+    return R.top_n(load(spark, d, "orders"), [("o_totalprice", "desc"), ("o_orderkey", "asc")], 25).select("o_orderkey", "o_totalprice")
+
+
+same("top_n_alias", "SELECT l_orderkey AS k, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey ORDER BY total DESC NULLS FIRST, k LIMIT 10")
+same("limit", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 77) t")
+same("external_sort", "SELECT l_orderkey, l_extendedprice, l_partkey FROM lineitem ORDER BY l_extendedprice DESC NULLS FIRST, l_orderkey, l_partkey")
+
+# TPC-H shapes on these tables
+
+same("tpch_q01", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus")
+same("tpch_q02", "SELECT p_partkey, s_name, s_acctbal FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size = 15 AND l_extendedprice = (SELECT min(l_extendedprice) FROM lineitem WHERE l_partkey = p_partkey)")
+same("tpch_q03", "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, o_orderdate FROM customer, orders, lineitem WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < '1998-03-15' AND l_shipdate > '1998-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC NULLS FIRST, l_orderkey LIMIT 10")
+same("tpch_q04", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= '1996-07-01' AND o_orderdate < '1997-07-01' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority")
+same("tpch_q05", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 2 AND o_orderdate >= '1996-01-01' AND o_orderdate < '1998-01-01' GROUP BY n_name")
+same("tpch_q10", "SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= '1997-10-01' AND o_orderdate < '1998-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC NULLS FIRST, c_custkey LIMIT 20")
+same("tpch_q15", "WITH revenue AS (SELECT l_suppkey AS k, sum(l_extendedprice * (1 - l_discount)) AS total FROM lineitem WHERE l_shipdate >= '1996-01-01' AND l_shipdate < '1996-04-01' GROUP BY l_suppkey) SELECT s_suppkey, s_name, round(total, 2) AS total FROM supplier JOIN revenue ON s_suppkey = k WHERE round(total, 4) = (SELECT round(max(total), 4) FROM revenue)")
+same("tpch_q17", "SELECT round(sum(l_extendedprice) / 7.0, 2) AS yearly FROM lineitem l, part WHERE p_partkey = l.l_partkey AND p_brand = 'Brand#23' AND l_quantity < (SELECT 0.2 * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)")
+same("tpch_mq07", "SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND ((n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1')) GROUP BY n1.n_name, n2.n_name")
+
+# Click-log shapes on events
+
+same("clicks_count", "SELECT count(*) AS n FROM events")
+same("clicks_min_max", "SELECT min(ts) AS first, max(ts) AS last FROM events")
+same("clicks_avg", "SELECT round(avg(user_id), 6) AS mean, count(DISTINCT user_id) AS users FROM events")
+same("clicks_point", "SELECT user_id FROM events WHERE event_id = 77")
+same("clicks_top_users", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC NULLS FIRST, user_id LIMIT 10")
+same("clicks_text_filter", "SELECT event_type, count(*) AS n, min(props) AS first FROM events WHERE props LIKE '%1%' AND event_type <> 'error' GROUP BY event_type")
+
+# Statements over tables of the engine's own
+
+
+def _database(spark: SparkSession):
+    from brindle.api import Database
+
+    return Database(work_folder(spark), spark=spark)
+
+
+@query("dml_managed", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 1 - n_regionkey ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey NOT IN (3, 4, 5) UNION ALL SELECT 100, 'NEW', NULL".replace("upper(n_name) || '!'", "upper(n_name)"))
+def dml_managed(spark, d):
+    db = _database(spark)
+    db.load_df(load(spark, d, "nation"), "nation", primary_key="n_nationkey")
+    c = db.connect()
+    c.sql("UPDATE nation SET n_name = upper(n_name), n_regionkey = 1 - n_regionkey WHERE n_regionkey = 1")
+    c.sql("DELETE FROM nation WHERE n_nationkey IN (3, 4, 5)")
+    c.sql("INSERT INTO nation VALUES (100, 'NEW', NULL)")
+    return c.query("SELECT * FROM nation")
+
+
+@query("dml_external", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) THEN 9999 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT s_suppkey + 100000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey < 5 AND s_acctbal >= 0")
+def dml_external(spark, d):
+    db = _database(spark)
+    folder = work_folder(spark)
+    load(spark, d, "supplier").write.mode("overwrite").parquet(folder + "/data")
+    db.load_df(load(spark, d, "customer").filter("c_acctbal > 5000").select("c_custkey"), "rich", primary_key="c_custkey")
+    c = db.connect()
+    c.sql(f"CREATE TABLE supplier WITH (format='parquet', location='{folder}/data')")
+    c.sql("DELETE FROM supplier WHERE s_acctbal < 0")
+    c.sql("INSERT INTO supplier SELECT s_suppkey + 100000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey < 5")
+    c.sql("UPDATE supplier SET s_nationkey = 9999 WHERE s_suppkey IN (SELECT c_custkey FROM rich)")
+    c.vacuum("supplier")
+    return c.query("SELECT * FROM supplier")
+
+
+@query("dml_join_sourced", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) THEN 0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 3)")
+def dml_join_sourced(spark, d):
+    db = _database(spark)
+    db.load_df(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "orders", primary_key="o_orderkey")
+    db.load_df(load(spark, d, "customer").select("c_custkey", "c_nationkey"), "customer", primary_key="c_custkey")
+    c = db.connect()
+    c.sql("DELETE FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 3)")
+    c.sql("UPDATE orders SET o_totalprice = 0 WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7)")
+    return c.query("SELECT o_orderkey, o_totalprice FROM orders")
+
+
+@query("generated_ids", "SELECT r_regionkey AS k, CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS id FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 77, 5")
+def generated_ids(spark, d):
+    db = _database(spark)
+    db.load_df(load(spark, d, "region").orderBy("r_regionkey").coalesce(1).select("r_regionkey"), "region")
+    c = db.connect()
+    c.sql("DELETE FROM region WHERE r_regionkey = 2")
+    c.sql("INSERT INTO region VALUES (77)")
+    return c.query("SELECT r_regionkey AS k, CASE WHEN _id > 2 AND r_regionkey <> 77 THEN _id - 1 ELSE _id END AS id FROM region")
+
+
+@query("transaction", "SELECT c_custkey, CASE WHEN c_custkey < 20 THEN c_acctbal - 10 ELSE c_acctbal END AS c_acctbal FROM customer")
+def transaction(spark, d):
+    db = _database(spark)
+    db.load_df(load(spark, d, "customer").select("c_custkey", "c_acctbal"), "customer", primary_key="c_custkey")
+    a, b = db.connect(), db.connect()
+    a.begin()
+    a.sql("UPDATE customer SET c_acctbal = c_acctbal - 10 WHERE c_custkey < 20")
+    b.begin()
+    b.sql("DELETE FROM customer WHERE c_custkey >= 50")
+    b.rollback()
+    a.commit()
+    return b.query("SELECT * FROM customer")
+
+
+@query("parquet_codecs", "SELECT n_nationkey, n_name, 4 AS copies FROM nation")
+def parquet_codecs(spark, d):
+    folder, n = work_folder(spark), load(spark, d, "nation")
+    for codec in S.CODECS:
+        S.write_parquet(n, f"{folder}/{codec}", codec)
+    read = S.parquet(spark, *[f"{folder}/{c}" for c in S.CODECS], schema=n.schema)
+    return read.groupBy("n_nationkey", "n_name").agg(F.count("*").cast("int").alias("copies"))
+
+
+# Extensions: not in the survey's inventory of what is implemented
+
+same("ext_window_rank", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey) AS r, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders")
+same("ext_set_operations", "(SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region) EXCEPT (SELECT c_nationkey FROM customer WHERE c_custkey < 10) UNION ALL (SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 5)")
+same("ext_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+same("ext_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+same("ext_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
+same("ext_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 30")
+same("ext_case_between", "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size > 40 THEN 'large' ELSE 'middle' END AS class, coalesce(nullif(p_type, 'X'), '-') AS kind FROM part")
+
+
+@query("ext_as_of_join", "SELECT e.event_id, (SELECT arg_max(p.value, (p.ts, p.value)) FROM events p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS value FROM events e WHERE e.event_type = 'click'")
+def ext_as_of_join(spark, d):
+    e = load(spark, d, "events")
+    clicks, bought = e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return R.as_of_join(clicks, bought, "user_id", "ts", "value").select("event_id", "value")
+
+
+@query("ext_range_join", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 10")
+def ext_range_join(spark, d):
+    s = load(spark, d, "supplier").withColumn("high", F.col("s_acctbal") + 10)
+    return R.range_join(load(spark, d, "customer"), s, "c_acctbal", "s_acctbal", "high", 10.0).select("c_custkey", "s_suppkey")
+
+
+@query("ext_stream_windows", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def ext_stream_windows(spark, d):
+    from brindle.streaming import windows
 
-    return (
-        load(spark, d, "lineitem").filter("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'").groupBy("l_returnflag", "l_linestatus")
-        .agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("sum_disc_price"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.count("*").alias("n"))
-    )
+    counts = windows.tumbling_counts(windows.stream_of(spark, d, "events.parquet"), "ts", "event_type", "value")
+    return windows.drained(counts, work_folder(spark)).withColumn("total", F.round("total", 2))
