@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stream_of(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
@@ -16,7 +17,7 @@ def stream_of(spark: SparkSession, folder: str, file_glob: str) -> DataFrame:
 
 def tumbling_counts(events: DataFrame, at: str, by: str, value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Count and sum of values for each window and key; state older than the watermark is dropped."""
-    stamped = events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)
+    stamped = events.withColumn("__at", F.col(at).cast(T.TimestampType())).withWatermark("__at", late)
     out = stamped.groupBy(F.window("__at", width), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), by, "n", "total")
 

@@ -54,10 +54,14 @@ def write_files(df: DataFrame, folder: str) -> list[str]:
     return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet"))
 
 
+def with_file(df: DataFrame) -> DataFrame:
+    """A scan with __file, the file that each row comes from."""
+    return df.select("*", F.col("_metadata.file_path").alias("__file"))
+
+
 def touched_files(df: DataFrame) -> list[str]:
-    """The files that rows of a scan (filtered, joined) come from."""
-    rows = df.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
-    return sorted(local_path(r.f) for r in rows)
+    """The files that rows of a scan with __file (filtered, joined) come from: at most as many as the manifest names."""
+    return sorted(local_path(r[0]) for r in df.select("__file").distinct().collect())
 
 
 def local_path(uri: str) -> str:
@@ -76,12 +80,14 @@ def fit(df: DataFrame, table: TableDef, fields: list[T.StructField]) -> DataFram
 
 def assigned(value: Column, source: T.DataType, field: T.StructField, notes: dict) -> Column:
     """A value as stored in a column, or an error at run time where it doesn't fit."""
-    if not can_assign(source, field.dataType):
+    whole = isinstance(source, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if not can_assign(source, field.dataType) and not ("unsigned" in notes and whole):  # the check below does
         raise BinderError(f"column {field.name} takes {type_name(field.dataType, notes)}, not {type_name(source)}")
     out = value.cast(field.dataType)
     if "unsigned" in notes:
         top = UNSIGNED[notes["unsigned"]]
-        bad = (out < 0) | (out > F.lit(str(top)).cast("decimal(20,0)"))
+        wide = value.cast("decimal(20,0)")
+        bad = (wide < 0) | (wide > F.lit(str(top)).cast("decimal(20,0)"))
         out = F.when(bad, F.raise_error(F.lit(f"value out of range for {notes['unsigned'].upper()} column {field.name}")).cast(field.dataType)).otherwise(out)
     if "length" in notes:
         bad = F.size(out) != notes["length"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from brindle.errors import BinderError
-from brindle.tables.base import TableDef, from_files, local_path, write_files
+from brindle.tables.base import TableDef, from_files, touched_files, write_files
 from brindle.tables.manifest import ManifestLog
 
 
@@ -68,7 +68,7 @@ class ExternalTable:
     def rewrite(self, version: int, matching: DataFrame, changed) -> None:
         """Rewrites the files that ``matching`` (rows with the __file they come from) touches by ``changed``, which takes
         the rows of all of them; the others stay as they are."""
-        touched = sorted(local_path(r[0]) for r in matching.select("__file").distinct().collect())
+        touched = touched_files(matching)
         if not touched:
             return
         files = self.files(version)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.errors import ConflictError
-from brindle.tables.base import TableDef, from_files, touched_files, write_files
+from brindle.tables.base import TableDef, from_files, touched_files, with_file, write_files
 from brindle.tables.manifest import ManifestLog
 
 RID = "__rid"
@@ -53,7 +53,7 @@ class ManagedTable:
             m = self.manifest(latest)
             files, touched = m["files"], delta.touched_frame(self)
             if delta.touched and files:
-                hit = touched_files(from_files(self.spark, self.schema, files).join(touched, RID, "left_semi"))
+                hit = touched_files(with_file(from_files(self.spark, self.schema, files)).join(touched, RID, "left_semi"))
                 if hit:
                     rest = from_files(self.spark, self.schema, hit).join(touched, RID, "left_anti")
                     files = [f for f in files if f not in hit] + write_files(rest, self.table.location)
