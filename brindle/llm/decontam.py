@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K, RADIUS = 5, 24
+#: Words of a document that are worked on in one row, besides the reach of windows.
+CHUNK = 512
 #: Shingles of the benchmark that one pass over the documents may broadcast.
 PASS_SHINGLES = 1_000_000
 
@@ -58,13 +60,14 @@ def with_simhash(df: DataFrame, shingles: str) -> DataFrame:
     """
     lanes = f"transform(sequence(0, 15), j -> aggregate({shingles}, 0L, (acc, h) -> acc + (shiftright(h, j) & {0x0001000100010001}L)))"
     bits = " | ".join(f"shiftleft(CAST((shiftright(lanes[{j}], {16 * k}) & 65535L) * 2 > size({shingles}) AS BIGINT), {j + 16 * k})" for j in range(16) for k in range(4))
-    return df.withColumn("lanes", F.expr(lanes)).withColumn("fp", F.expr(bits)).drop("lanes")
+    # coalesce: fp is never null, and the optimizer should know it, else it tests the whole expression before the joins
+    return df.withColumn("lanes", F.expr(lanes)).withColumn("fp", F.expr(f"coalesce({bits}, 0L)")).drop("lanes")
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, n words, their shingle hashes and fingerprint."""
     words = benchmark.select("item_id", F.expr(_WORDS).alias("w")).filter(f"size(w) >= {K}").distinct()
-    return with_simhash(words.select("item_id", F.expr("size(w)").alias("n"), F.expr(_shingles("w")).alias("item_shingles")), "item_shingles")
+    return with_simhash(words.select("item_id", F.expr("coalesce(size(w), 0)").alias("n"), F.expr(_shingles("w")).alias("item_shingles")), "item_shingles")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, pass_shingles: int = PASS_SHINGLES) -> DataFrame:
@@ -73,9 +76,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = 80, pass_shing
     docs: doc_id, text; benchmark: item_id, text. start_word counts from 0, the first of equally good windows.
     """
     items = _items(benchmark)
-    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, longest = items.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(K))).first()
     passes = max(1, -(-int(total) // pass_shingles))
-    words = docs.select("doc_id", F.expr(_WORDS).alias("w")).withColumn("size", F.expr("size(w)")).filter(f"size >= {K}")
+    # the words are generated, not projected, so that filters on them stay above and texts are cut once
+    words = docs.select("doc_id", F.explode(F.array(F.expr(_WORDS))).alias("w")).filter(f"size(w) >= {K}").withColumn("size", F.expr("coalesce(size(w), 0)"))
+    # long documents in pieces with the windows' reach on both sides, so that no row is long
+    words = words.withColumn("c", F.explode(F.expr(f"sequence(0, size - {K}, {CHUNK})"))).withColumn("low", F.expr(f"greatest(0, c - {longest})"))
+    words = words.select("doc_id", "size", "c", "low", F.expr(f"slice(w, low + 1, {CHUNK + 2 * longest})").alias("w"))
     found = None
     for k in range(passes):
         part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
@@ -92,16 +99,17 @@ def _pass(words: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     values = ", ".join(f"shiftrightunsigned(fp & {mask}L, {at})" for mask, at in blocks)
     index = items.select("item_id", "n", "item_shingles", F.col("fp").alias("item_fp"), F.posexplode(F.expr(f"array({values})")).alias("block", "value"))
 
-    at = words.withColumn("p", F.explode(F.expr(f"sequence(0, size - {K})"))).withColumn("h", F.expr(_HASH.format(w="w", p="p")))
+    at = words.withColumn("p", F.explode(F.expr(f"sequence(c, least(c + {CHUNK - 1}, size - {K}))"))).withColumn("h", F.expr(_HASH.format(w="w", p="p - low")))
     hits = at.join(F.broadcast(wanted), "h")
-    windows = hits.withColumn("start_word", F.expr("greatest(0, least(p, size - n))")).select("doc_id", "n", "start_word", F.expr("slice(w, start_word + 1, n)").alias("v"))
+    windows = hits.withColumn("start_word", F.expr("greatest(0, least(p, size - n))")).select("doc_id", "n", "start_word", F.expr("slice(w, start_word - low + 1, n)").alias("v"))
     windows = with_simhash(windows.select("doc_id", "n", "start_word", F.expr(_shingles("v")).alias("shingles")), "shingles")
     probes = windows.select("doc_id", "n", "start_word", "shingles", "fp", F.posexplode(F.expr(f"array({values})")).alias("block", "value"))
     close = probes.join(F.broadcast(index), ["n", "block", "value"])
     # a pair that agrees in several blocks is taken at the first
     first = " ".join(f"WHEN ((fp ^ item_fp) & {mask}L) = 0 THEN {i}" for i, (mask, _) in enumerate(blocks))
-    close = close.filter(f"block = CASE {first} END AND bit_count(fp ^ item_fp) <= {RADIUS}")
-    close = close.filter(f"size(filter(shingles, x -> array_contains(item_shingles, x))) * 100 >= {percent} * size(item_shingles)")
+    near = f"block = CASE {first} END AND bit_count(fp ^ item_fp) <= {RADIUS}"
+    may = f"size(filter(shingles, x -> array_contains(item_shingles, x))) * 100 >= {percent} * size(item_shingles)"
+    close = close.filter(f"CASE WHEN {near} THEN {may} ELSE false END")
     both = "aggregate(array_distinct(shingles), 0, (acc, x) -> acc + least(size(filter(shingles, y -> y = x)), size(filter(item_shingles, y -> y = x))))"
     close = close.withColumn("both", F.expr(both)).withColumn("either", F.expr("size(shingles) + size(item_shingles) - both"))
     return close.filter(f"100 * both >= {percent} * either").select("doc_id", "item_id", F.expr("both / either").alias("similarity"), "start_word")
