@@ -259,8 +259,8 @@ class Pseudonyms:
         return "".join(out) + text[at:], found
 
 
-def pseudonymised(docs: DataFrame, key: bytes, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns (the text replaced in place), n_found and kinds (sorted, distinct, comma-separated).
+def pseudonymised(docs: DataFrame, key: bytes, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str] = ("n_found", "kinds")) -> DataFrame:
+    """``keep`` columns (the text replaced in place), n_found and kinds (sorted, distinct, comma-separated) or other names.
 
     One narrow pass without a shuffle. ``key`` is the secret on which all pseudonyms depend.
     """
@@ -281,6 +281,6 @@ def pseudonymised(docs: DataFrame, key: bytes, keep: list[str] | None = None, te
                     n.append(len(found))
                     kinds.append(",".join(sorted({f[2] for f in found})))
                 cols = [pa.array(texts, pa.string()) if i == where else c for i, c in enumerate(part.columns)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), pa.array(kinds, pa.string())], [*keep, "n_found", "kinds"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int32()), pa.array(kinds, pa.string())], [*keep, *names])
 
-    return chosen.mapInArrow(run, f"{fields}, n_found int, kinds string")
+    return chosen.mapInArrow(run, f"{fields}, `{names[0]}` int, `{names[1]}` string")

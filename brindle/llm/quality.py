@@ -142,8 +142,8 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Embedding
     return Embeddings.from_bytes(bytes(got[0].model)) if got else Embeddings.train([], np.zeros(0, np.int64))
 
 
-def score(df: DataFrame, model: Embeddings, keep: list[str], threshold: float = 0.3) -> DataFrame:
-    """``keep`` columns of df with score and predicted, from its column text alone."""
+def score(df: DataFrame, model: Embeddings, keep: list[str], threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns of df with score and predicted (or other names), from its column text alone."""
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast((model.logits()))  # BUCKETS doubles
     schema = df.select("text", *[F.col(f"`{c}`") for c in keep]).schema
@@ -161,14 +161,14 @@ def score(df: DataFrame, model: Embeddings, keep: list[str], threshold: float =
                     total, n = total + weight[f].sum(), n + len(f)
                 mean[i] = total / n if n else 0.0
             p = 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names[1:], *names])
 
-    return df.select("text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, f"{fields}, score double, predicted int")
+    return df.select("text", *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
-def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, held_out=None, sample: int = SAMPLE) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, held_out=None, sample: int = SAMPLE, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Fits on the labels that are not held out and scores every row of docs."""
     labelled = labels.select("doc_id", F.col("quality").alias("label"))
     if held_out is not None:
         labelled = labelled.filter(~held_out)
-    return score(docs, fit(docs, labelled, sample), keep or ["doc_id"])
+    return score(docs, fit(docs, labelled, sample), keep or ["doc_id"], names=names)

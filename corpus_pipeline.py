@@ -17,8 +17,8 @@ from brindle.llm.queries import DEMO_KEY, load
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what scores 0.3 or more; learns from the labels of the documents that are there and not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    scored = quality.quality(docs, load(spark, sf_dir, "labels"), keep=docs.columns, held_out=held_out)
-    return scored.filter("predicted = 1").select(docs.columns)
+    scored = quality.quality(docs, load(spark, sf_dir, "labels"), keep=docs.columns, held_out=held_out, names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms; n_chars follows the text."""
-    return pii.pseudonymised(docs, DEMO_KEY, keep=docs.columns).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.pseudonymised(docs, DEMO_KEY, keep=docs.columns, names=("__n", "__kinds")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """The queries that SQL can express, against DuckDB on whole small tables."""
 
+import os
+
 import duckdb
 import pytest
 
 from brindle.llm.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("BRINDLE_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

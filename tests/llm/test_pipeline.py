@@ -42,3 +42,20 @@ def test_stages_as_brute_force(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(seen[3][i].text.encode()).hexdigest()
     whole = {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()}
     assert whole == {tuple(r) for r in seen[4].values()}
+
+
+def test_stages_take_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", "s", 5), (3, long, "en", "s", 5), (4, long + " tail", None, "s", 5), (None, "call +1 (389) 555-5010", None, None, None), (None, "call +1 (389) 555-5010", None, None, None), (5, "call +1 (389) 555-5010 now", "en", None, 1)]
+    odd = spark.createDataFrame([(*r, 9.0, 1, "k", "h") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, kinds string, n_found string")
+    for docs in (odd, odd.limit(0)):
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            if docs is odd and i == 1:
+                assert sorted((r.doc_id or 0, len(r.text or "")) for r in got) == sorted([(1, 0), (2, 0), (3, len(long)), (0, 22), (5, 26)])
+            if docs is odd and i == 3:
+                assert not any("389) 555-5010" in (r.text or "") for r in got) and len(got) == len(rows)
