@@ -110,7 +110,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(load(spark, sf_dir, "documents"), DEMO_KEY)
 
 
-@query("op4_warc")
+_B32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(d, i * 5 + 1, 5) AS INTEGER) >> {k}) % 32 + 1, 1)" for k in (15, 10, 5, 0))
+
+
+@query(
+    "op4_warc",
+    f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), f AS (SELECT d, min(page_id) AS f FROM p GROUP BY d)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(8), lambda i: {_B32}), '') AS payload_digest,
+    CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM p JOIN f USING (d)""",
+)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages written to WARC archives with revisits, and read back by byte ranges."""
     from brindle.llm import warc
