@@ -29,6 +29,8 @@ GRAMS = (3, 5)
 REPEATS = (1, 2, 3)
 #: Labelled rows that are learnt from at most, features of a text that are learnt from, passes over them.
 SAMPLE, FEATURES, EPOCHS = 4000, 2000, 5
+#: Documents that training steps over at least, in more passes where the sample is small.
+STEPS = 8000
 
 _SHIFT = np.uint64(64 - 15)
 
@@ -73,6 +75,7 @@ class Embeddings:
         share = min(0.99, max(0.01, share))
         bias[:] = np.log([1 - share, share])
         if len(set(labels.tolist())) > 1:
+            epochs = max(epochs, -(-STEPS // len(docs)))
             step, steps = 0, epochs * len(docs)
             out[:] = rng.normal(0, 0.1, out.shape)
             for _ in range(epochs):
