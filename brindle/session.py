@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -34,3 +36,17 @@ def build_session(app: str = "brindle", master: str | None = None, conf: dict[st
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, so that they need no path of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        temp = tempfile.mkdtemp(prefix="brindle-ship")
+        shutil.copytree(here, f"{temp}/src/brindle", ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(f"{temp}/brindle_package", "zip", f"{temp}/src"))
+        _SHIPPED.add(sc.applicationId)
