@@ -102,7 +102,7 @@ class Pseudonyms:
         "ip": re.compile(r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])(?!\.[0-9])"),
         "date": re.compile(r"(?<![0-9])(?<![0-9][./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9])(?![./-][0-9])"),
         "ssn": re.compile(r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])(?!-[0-9])"),
-        "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,12}){1,6}|(?<![0-9][.-])\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|(?<![0-9][ .-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})(?![0-9])"),
+        "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{1,12}){1,6}|(?<![0-9][.-])\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}|(?<![0-9][.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|(?<![0-9][ .-])[0-9]{3} [0-9]{3} [0-9]{4})(?![0-9])"),
         "secret": re.compile(r"(?:(?<![A-Za-z0-9])(?i:api[_-]?key|access[_-]?key|secret|token|passwd|password)(?![A-Za-z0-9])[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[A-Za-z0-9_+/.=-]{12,})|(?<![A-Za-z0-9])(?P<w>AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9]))"),
     }
     NEEDS = re.compile(r"[0-9@]|(?i:key|secret|token|passw)")
@@ -238,14 +238,19 @@ class Pseudonyms:
         for kind, pattern in self.PATTERNS.items():
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                group = (m.lastgroup or 0) if kind == "secret" else 0
-                start, end = m.span(group)
-                if any(s < end and start < e for s, e, *_ in taken):
-                    continue
-                new = self.pseudonym(kind, text[start:end])
-                if new is not None:
-                    taken.append((start, end, kind, new))
+            at = 0
+            while m := pattern.search(text, at):
+                at, limit = max(m.end(), at + 1), m.end()
+                while m:  # what runs into a value found before, or doesn't validate, may do so without its last part
+                    group = (m.lastgroup or 0) if kind == "secret" else 0
+                    start, end = m.span(group)
+                    new = None if any(s < end and start < e for s, e, *_ in taken) else self.pseudonym(kind, text[start:end])
+                    if new is not None:
+                        taken.append((start, end, kind, new))
+                        at = max(m.end(), start + 1)
+                        break
+                    limit = text.rfind(" ", m.start(), limit)
+                    m = pattern.match(text, m.start(), limit) if limit > m.start() else None
         return sorted(taken)
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:

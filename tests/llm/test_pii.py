@@ -62,6 +62,18 @@ def test_two_cards_in_a_row(p):
         assert len(set(new.split())) == 1
 
 
+@pytest.mark.parametrize(("text", "kinds"), [
+    ("+1 (826) 555-4081 190.137.223.204 x", ["phone", "ip"]),
+    ("+1 (826) 555-4081 4111111111111111 12", ["phone", "card"]),
+    ("+44 20 7946 0958 10.0.0.1 +1 (826) 555-4081 +1 (826) 555-4082", ["phone", "ip", "phone", "phone"]),
+    ("4111111111111111 190.137.223.204 a.b@c.example.com 4111111111111111", ["card", "ip", "email", "card"]),
+    ("IBAN GB82 WEST 1234 5698 7654 32 THEN MORE", ["iban"]),
+    ("1987-02-28 31/12/2020 10.0.0.1 123-45-6789 212-555-0187", ["date", "date", "ip", "ssn", "phone"]),
+])
+def test_values_side_by_side(p, text, kinds):
+    assert [k for _, _, k, _ in p.find(text)] == kinds
+
+
 def test_dates_are_permuted_within_layouts(p):
     days = [datetime.date(2000, 1, 1) + datetime.timedelta(i) for i in range(1500)]
     for layout in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"):
