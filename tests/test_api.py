@@ -157,7 +157,7 @@ def test_serializable(db):
 
 def test_external(db, spark, tmp_path):
     folder = tmp_path / "x"
-    spark.createDataFrame([(1, "hello")], "i int, j string").write.parquet(str(tmp_path / "w"))
+    spark.createDataFrame([(1, "hello")], "i int, j string").coalesce(1).write.parquet(str(tmp_path / "w"))
     folder.mkdir()
     next((tmp_path / "w").glob("*.parquet")).rename(folder / "a.parquet")
     db.sql(f"CREATE TABLE t WITH (format='parquet', location='{folder}')")
