@@ -69,6 +69,31 @@ def test_as_brute_force(spark, seed):
     assert decontam.matches(d.limit(0), b).count() == 0 and decontam.matches(d, b.limit(0)).count() == 0
 
 
+def test_altered_run_of_a_repeated_word(spark):
+    rng = random.Random(3)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    docs, items = [], []
+    for i in range(9):
+        p, run = prose(200 + 200 * (i % 3 == 2)), 40 if i % 3 == 2 else 20
+        items.append((i, " ".join([*p, *["0"] * run])))
+        docs.append((i, " ".join(p if i % 3 == 1 else [*p, *prose(run)])))
+    # five shingles against four of them
+    for i in range(60, 70):
+        p = prose(9)
+        items.append((i, " ".join(p)))
+        docs.append((i, " ".join(p[:-1])))
+    want = {}
+    for doc, item in zip(docs, items, strict=True):
+        want |= brute([doc], [item])
+    assert len(want) == 19
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = got(decontam.matches(d, b))
+    assert len(found) == 19 and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     tables = {n: [tuple(r) for r in spark.read.parquet(f"{sf}/{n}.parquet").select(k, "text").collect()] for n, k in (("documents", "doc_id"), ("benchmark", "item_id"))}
