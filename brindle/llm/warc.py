@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from brindle.llm import shared
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes that a reading task is given, bytes after which a writer begins another file, bytes of headers at most.
+#: Bytes that a reading task is given, bytes after which a writer begins another file, bytes read at once until the headers are complete.
 SPLIT, FILE, HEADERS = 8 << 20, 256 << 20, 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, offset long, warc_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, digest_ok boolean, payload binary"
@@ -155,7 +155,7 @@ def _headers(data: bytes) -> tuple[dict[str, str], int] | None:
 def _member(window: _Window, pos: int) -> tuple[bytes, int] | None:
     """The record in the gzip member at pos and the place after the member; None if there is none in full."""
     z, got, told, at = zlib.decompressobj(31), [], False, pos
-    size = 0
+    begin = tail = b""
     while not z.eof:
         data = window.read(at)
         if not data:
@@ -166,11 +166,15 @@ def _member(window: _Window, pos: int) -> tuple[bytes, int] | None:
             return None
         at += len(data if told else data[:HEADERS])
         got.append(piece)
-        size += len(piece)
-        if not told and (size >= HEADERS or z.eof or b"\r\n\r\n" in piece):
-            if _headers(b"".join(got)) is None:
+        if not told:
+            begin, tail = (begin + piece[:5])[:5], tail + piece
+            if not b"WARC/".startswith(begin):
                 return None
-            told = True
+            if z.eof or b"\r\n\r\n" in tail:
+                if _headers(b"".join(got)) is None:
+                    return None
+                told = True
+            tail = tail[-3:]  # the blank line may lie across two pieces
     return (b"".join(got), at - len(z.unused_data)) if told else None
 
 

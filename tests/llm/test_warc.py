@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import io
 import random
 import zlib
 
@@ -32,6 +34,15 @@ def test_round_trip_of_odd_pages(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_headers_longer_than_a_read():
+    rng = random.Random(4)
+    urls = ["data:text/plain;base64," + base64.b64encode(rng.randbytes(n)).decode() for n in (75_000, 600_000)]
+    members = [warc.page_record(i, u, b"payload", None, "2024-01-01T00:00:00Z") for i, u in enumerate([*urls, "http://x/"])]
+    data = b"".join([members[0], zlib.compress(b"WARX/1.1" * 30_000, wbits=31), zlib.compress(b"WARC/1.1" * 30_000, wbits=31), *members[1:]])
+    got = list(warc.records(warc._Window(io.BytesIO(data), len(data)), 0, len(data)))
+    assert [(h["warc-target-uri"], b.endswith(b"payload")) for _, h, b in got] == [(u, True) for u in [*urls, "http://x/"]]
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
