@@ -8,14 +8,14 @@ Hamming radius r of the query's agrees with it to within r // PARTS in some subs
 near in each table retrieves every code within r; what is within r is then ranked by the inner product of the
 original vectors in double precision. The radius is the one that reached TARGET recall against brute force within
 the sample (whose neighbours are farther than those among all rows), and is widened for a query whose block holds
-fewer than k codes within it, so a query always gets min(k, candidates) results.
+fewer than k codes of other ids within it, so a query always gets min(k, candidates) results.
 
 Queries and rows meet block by block; each pair of blocks keeps k results a query, which one aggregation merges. No
 vector is compared outside its block's candidates. Sample, rotation and radius have fixed size.
 
 Defined results: null and zero vectors, those with null or non-finite components, of another dimension than the most
 frequent one, or with a null id take no part. Rows that repeat an id are candidates each; a row is not a candidate of
-a query of the same id. Ties go to the smaller id. Empty tables give no rows; further columns are ignored.
+a query of the same id. Equal query rows are asked once; a query id with several vectors gets k results for each. Ties go to the smaller id. Empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,13 +145,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return empty
     codes = Codes(np.array(got[0].mean), np.array(got[0].rotation).reshape(-1, BITS), got[0].radius)
     row_blocks = max(1, -(-n // rows))
-    chosen = fine.filter(is_query)
+    chosen = fine.filter(is_query).distinct().withColumn("key", F.xxhash64("v"))
     query_blocks = max(1, -(-chosen.count() // queries))
     spread = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_blocks)).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     left = fine.select("id", "v", spread.alias("rb")).withColumn("qb", each)
     other = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))
-    right = chosen.select("id", "v", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("rb", other)
+    right = chosen.select("id", "v", "key", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("rb", other)
 
     def search(block: pa.Table, asked: pa.Table) -> pa.Table:
         def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -159,23 +159,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             flat = t.column("v").combine_chunks().flatten().to_numpy() if t.num_rows else np.zeros(0)
             return ids, flat.reshape(len(ids), -1)
 
-        out = [[], [], []]
+        out = [[], [], [], []]
         if block.num_rows and asked.num_rows:
             ids, x = matrix(block)
             qids, q = matrix(asked)
+            keys = asked.column("key").to_numpy()
 
             index, code = MultiIndex(codes.of(on_sphere(x, longest))), codes.of(as_query(q))
             for i in range(len(qids)):
-                found = index.search(code[i], codes.radius, k + 1)
+                found = index.search(code[i], codes.radius, k + max(1, np.count_nonzero(ids == qids[i])))
                 found = found[ids[found] != qids[i]]
                 score = (x[found] * q[i]).sum(axis=1)
                 best = np.lexsort((ids[found], -score))[:k]
-                for c, v in zip(out, (np.full(len(best), qids[i]), ids[found][best], score[best]), strict=True):
+                for c, v in zip(out, (np.full(len(best), qids[i]), np.full(len(best), keys[i]), ids[found][best], score[best]), strict=True):
                     c.append(v)
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, t)) for c, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
+        kinds = (np.int64, np.int64, np.int64, np.float64)
+        return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, t)) for c, t in zip(out, kinds, strict=True)], names=["query_id", "key", "vec_id", "score"])
 
-    met = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(search, "query_id long, key long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

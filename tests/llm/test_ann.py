@@ -58,3 +58,17 @@ def test_ties_go_to_smaller_ids(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in (9, 3, 7, 0, 5)], "vec_id long, embedding array<double>")
     got = ann.nearest(df, ann.F.col("id") == 0, k=3).orderBy("rank").collect()
     assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 3, 5.0), (2, 5, 5.0), (3, 7, 5.0)]
+
+
+def test_repeated_rows_cost_no_results(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 16))
+    # id 0 lies far off, 30 times; id 1 comes twice, with equal vectors; id 2 with two vectors
+    vs = [(0, [100.0] * 8 + [0.0] * 8)] * 30 + [(i, v.tolist()) for i, v in enumerate(x) if i]
+    vs += [(1, x[1].tolist()), (2, (-x[2]).tolist())]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, ann.F.col("id") < 3).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 20, 1: 20, 2: 40}
+    assert sorted(got[got.query_id == 1]["rank"]) == list(range(1, 21))
+    assert sorted(got[got.query_id == 2]["rank"]) == sorted([*range(1, 21)] * 2)
+    assert (got.query_id != got.vec_id).all() and got[got.query_id == 0].vec_id.nunique() >= 19
