@@ -27,7 +27,7 @@ BUCKETS = 1 << 15
 #: Characters of a text that are hashed at once.
 PIECE = 1 << 19
 #: Rows of each language that are learnt from at most, and passes over them.
-PER_LANGUAGE, EPOCHS = 1200, 3
+PER_LANGUAGE, EPOCHS = 1000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 
 _SHIFT = np.uint64(64 - 15)
@@ -35,15 +35,15 @@ _LETTER = regex.compile(r"\p{L}")
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def counts(text: str) -> np.ndarray:
-    """How often each bucket's n-grams occur in the whole text."""
-    total = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(text), PIECE):
-        c = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def counts(text: str, piece: int = PIECE) -> np.ndarray:
+    """How often each bucket's n-grams occur in the whole text. Pieces overlap by the reach of an n-gram."""
+    total, low = np.zeros(BUCKETS, np.int64), text.lower()
+    for at in range(0, len(low), piece):
+        c = np.frombuffer(low[at : at + piece + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         one = c * _A
         two = (one[:-1] ^ (one[:-1] >> np.uint64(31))) * _B + c[1:] * _C
         three = (two[:-1] ^ (two[:-1] >> np.uint64(31))) * _B + c[2:] * _C
-        h = np.concatenate((one, two * _A, three * _C))
+        h = np.concatenate((one[:piece], two[:piece] * _A, three * _C))
         total += np.bincount(((h ^ (h << np.uint64(23))) >> _SHIFT).astype(np.int64), minlength=BUCKETS)
     return total
 
@@ -145,14 +145,24 @@ def _document_frequencies(learnable: DataFrame) -> tuple[np.ndarray, int]:
     return n[:-1], int(n[-1])
 
 
+def _sampled(learnable: DataFrame, per_language: int) -> DataFrame:
+    """(lang, key, text) of the ``per_language`` different rows of smallest hash of each language.
+
+    Narrow ranks first, limited in each partition before they are shuffled (as long as per_language is within
+    spark.sql.optimizer.windowGroupLimitThreshold); then the rows up to the last rank's hash. Repeated rows count once.
+    """
+    keyed = learnable.withColumn("key", F.xxhash64("doc_id", "text"))
+    ranked = keyed.select("lang", "key").withColumn("r", F.dense_rank().over(Window.partitionBy("lang").orderBy("key")))
+    most = ranked.filter(F.col("r") <= per_language).groupBy("lang").agg(F.max("key").alias("most"))
+    return keyed.join(F.broadcast(most), "lang").filter("key <= most").groupBy("lang", "key").agg(F.first("text").alias("text"))  # a row a language
+
+
 def fit(learnable: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from the columns doc_id, text and lang of ``learnable``."""
     learnable = learnable.filter("lang IS NOT NULL")
     df, n = _document_frequencies(learnable)
     idf = np.log((1 + n) / (1 + df))
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learnable.filter("doc_id IS NOT NULL").select("doc_id", "lang").withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= per_language)
-    rows = learnable.select("doc_id", "text", "lang").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")  # per_language x languages numbers
+    rows = _sampled(learnable, per_language)
 
     def extract(batches):
         for batch in batches:
@@ -160,18 +170,17 @@ def fit(learnable: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             for t in batch.column("text").to_pylist():
                 c = counts(t or "")
                 at = np.flatnonzero(c)
-                feats.append(at.astype("<u2").tobytes() + np.minimum(c[at], 65535).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(feats, pa.binary())], ["doc_id", "lang", "feats"])
+                feats.append(at.astype("<u2").tobytes() + c[at].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(feats, pa.binary())], ["key", "lang", "feats"])
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "lang", "feats"]).reset_index(drop=True)
+        pdf = pdf.sort_values(["key", "lang", "feats"]).reset_index(drop=True)
         langs = sorted(pdf.lang.unique())
         model = Model(langs, idf, np.zeros((BUCKETS, len(langs))), np.zeros(len(langs)))
         rows = []
         for b in pdf.feats:
-            x = np.frombuffer(b, "<u2").reshape(2, -1)
-            c = np.zeros(BUCKETS, np.int64)
-            c[x[0]] = x[1]
+            k, c = len(b) // 6, np.zeros(BUCKETS, np.int64)
+            c[np.frombuffer(b, "<u2", k)] = np.frombuffer(b, "<u4", k, 2 * k)
             rows.append(model.vector(c))
         y = pdf.lang.map({k: i for i, k in enumerate(langs)}).to_numpy()
         aside = np.arange(len(rows)) % 5 == 4
@@ -180,8 +189,8 @@ def fit(learnable: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         head, body = model.to_row()
         return pd.DataFrame({"head": [head], "body": [body]})
 
-    # one task on purpose: at most per_language x languages rows of at most 4 x BUCKETS bytes
-    got = rows.mapInArrow(extract, "doc_id long, lang string, feats binary").groupBy().applyInPandas(learn, "head string, body binary").collect()
+    # one task on purpose: at most per_language x languages rows of at most 6 x BUCKETS bytes
+    got = rows.mapInArrow(extract, "key long, lang string, feats binary").groupBy().applyInPandas(learn, "head string, body binary").collect()
     return Model.from_row(got[0].head, bytes(got[0].body)) if got else Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0))
 
 

@@ -4,18 +4,24 @@ A document's set is that of its distinct ``k``-word shingles. The hash space is
 its least hash in compressed form, the place of the leading one and MANTISSA bits after it. Four registers make a
 band; documents that share a band are candidates. Before texts are fetched, the share of equal registers, corrected
 for accidental collisions of the compressed form, estimates the similarity of a candidate pair and drops pairs that
-are five standard deviations below the threshold. What remains is confirmed on the full sets.
+are five standard deviations below the threshold. What remains is confirmed on the full sets, word by word: hashes
+only propose.
 
-Equal sets are one class from the start, so copies are never expanded. Within a band's bucket each class is first
-compared with the smallest one only; components of the confirmed links follow. Members of one bucket that are then
-still in different components (documents around a passage that thousands share, say) are not paired by bucket, whose
-pairs grow with its square, but by their rarest shingles, one of which similar sets must share. So no link is lost
-that the bands can see, and buckets of mutual near copies cost as many comparisons as members. At similarity 0.8 a pair shares none of the 24
-bands with a probability of about 3e-6.
+Rows of equal sets are one class from the start, so copies are never expanded. Within a band's bucket each class is
+first compared with the smallest one only; components of the confirmed links follow. Members of one bucket that are
+then still in different components (documents around a passage that thousands share, say) are not paired by bucket,
+whose pairs grow with its square, but by their rarest shingles, one of which similar sets must share. So no link is
+lost that the bands can see, and buckets of mutual near copies cost as many comparisons as members. At similarity 0.8
+a pair shares none of the 24 bands with a probability of about 3e-6. A text that is in many pairs is repeated, and its
+pairs are spread over the copies, before they meet.
+
+Rows carry a number of their own, so ids may repeat or be null. ``near_duplicates`` speaks of documents: rows of one
+id are one document, which is linked with whatever one of them is linked with. ``unique_rows`` speaks of rows.
 
 Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0) and are linked with
-nothing. Rows that repeat a doc_id each come out, with that id's component. A null doc_id is never a component_id; it
-is kept only if its component has no id at all. Further columns are ignored; an empty table gives no rows.
+nothing. Rows that repeat a doc_id each come out, with that id's component. Rows of null doc_id are documents of their
+own; a null is never a component_id, and such a row is kept only if its component has no id at all. Further columns are
+ignored (unique_rows keeps them), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm import shared
 from brindle.llm import text as tx
@@ -36,12 +43,14 @@ _FIRST = np.concatenate((np.zeros(1, np.uint64), _EDGES))
 _LANES = np.array([0, 16, 32, 48], np.uint64)
 #: Sets of fewer shingles leave registers empty, which are then filled from the next; no estimate is taken from them.
 ESTIMABLE = 400
+#: Pairs that one copy of a text meets at most (about).
+MEETS = 2000
 
 
 def shingle_sets(texts: list[bytes], k: int):
     """Sorted distinct shingle hashes of each text; A-Z count as a-z."""
     for lo, hi in tx.groups(texts):
-        w, at = tx.word_hashes(texts[lo:hi], tx.BYTE_FOLDED)
+        w, at = tx.word_hashes(texts[lo:hi], fold=True)
         h = np.full(max(0, len(w) - k + 1), np.uint64(k))
         for j in range(k if len(h) else 0):
             h = tx.mix(h * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j])
@@ -58,6 +67,26 @@ def shingle_sets(texts: list[bytes], k: int):
                 yield np.zeros(0, np.uint64)
 
 
+def reaches(one: bytes, two: bytes, k: int, percent: int) -> bool:
+    """Whether the shingle sets of two texts reach the threshold, decided on the words themselves."""
+    number: dict[bytes, int] = {}
+    ids = []
+    for t in (one, two):
+        parts = [np.fromiter((number.setdefault(w, len(number)) for w in piece.lower().split()), np.int64) for piece in tx.pieces_at_space(t)]
+        ids.append(np.concatenate(parts))
+    if min(map(len, ids)) < k:
+        return len(ids[0]) > 0 and np.array_equal(*ids)
+    n = len(ids[0]) - k + 1
+    code = np.concatenate([x[: len(x) - k + 1] for x in ids])
+    for j in range(1, k):  # equal numbers for equal runs of words, word by word
+        code = code * len(number) + np.concatenate([x[j : len(x) - k + 1 + j] for x in ids])
+        if j < k - 1:
+            _, code = np.unique(code, return_inverse=True)
+    a, b = np.unique(code[:n]), np.unique(code[n:])
+    both = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def sketch(u: np.ndarray) -> np.ndarray:
     """BANDS 64-bit words of four 16-bit registers each, of a sorted non-empty set of hashes."""
     at = np.concatenate(([0], np.searchsorted(u, _EDGES), [len(u)]))
@@ -73,23 +102,37 @@ def sketch(u: np.ndarray) -> np.ndarray:
     return (reg.reshape(BANDS, ROWS) << _LANES).sum(axis=1, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (hi, lo) and its sketch; nulls for an empty set."""
+_SKETCH = [T.StructField(c, T.LongType()) for c in ("uid", "n", "hi", "lo")] + [T.StructField("regs", T.ArrayType(T.LongType()))]
+
+
+def sketches(docs: DataFrame, at: int, k: int) -> DataFrame:
+    """docs (columns c0, c1, ...; the text is number ``at``) with a number for each row, n_shingles, a 128-bit
+    fingerprint of the set (hi, lo) and its sketch; the last three are null for an empty set."""
 
     def run(batches):
         for batch in batches:
-            n, hi, lo, regs = [], [], [], []
-            for u in shingle_sets(tx.raw(batch.column(1)), k):
-                n.append(len(u))
-                if len(u):
-                    hi.append(int(np.add.reduce(tx.mix(u)).view(np.int64)))
-                    lo.append(int(np.bitwise_xor.reduce(tx.mix(u * np.uint64(0x165667B19E3779F9))).view(np.int64)))
-                    regs.append(sketch(u).view(np.int64))
-                else:
-                    hi.append(None), lo.append(None), regs.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.list_(pa.int64()))], ["doc_id", "n", "hi", "lo", "regs"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, regs array<long>")
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                n, his, los, regs = [], [], [], []
+                for u in shingle_sets(tx.raw(part.column(at)), k):
+                    n.append(len(u))
+                    his.append(int(np.add.reduce(tx.mix(u)).view(np.int64)) if len(u) else None)
+                    los.append(int(np.bitwise_xor.reduce(tx.mix(u * np.uint64(0x165667B19E3779F9))).view(np.int64)) if len(u) else None)
+                    regs.append(sketch(u).view(np.int64) if len(u) else None)
+                more = [pa.array(n, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(regs, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "n", "hi", "lo", "regs"])
+
+    return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, T.StructType([*docs.schema.fields, *_SKETCH]))
+
+
+def _spread(pairs: DataFrame, key: str, side: DataFrame) -> DataFrame:
+    """pairs joined with side (which has each key once). Keys of many pairs are salted: their row of side is repeated,
+    their pairs are spread over the copies."""
+    copies = F.expr(f"int(ceil(count / {MEETS}D))").alias("copies")
+    hot = pairs.groupBy(key).count().filter(F.col("count") > MEETS).select(key, copies)
+    salted = pairs.join(hot, key, "left").withColumn("salt", F.expr("CASE WHEN copies IS NULL THEN 0 ELSE pmod(xxhash64(a, b), copies) END").cast("int")).drop("copies")
+    many = side.join(hot, key, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
+    return salted.join(many, [key, "salt"]).drop("salt")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -101,7 +144,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     same = F.expr(f"aggregate(zip_with(ra, rb, (x, y) -> x ^ y), 0, (acc, z) -> acc + {lanes})")
     chance = F.expr(f"0.72D / {1 << MANTISSA} * na * nb / ((na + nb) * (na + nb))")
     return (
-        pairs.join(one, "a").join(two, "b")
+        _spread(_spread(pairs, "a", one), "b", two)
         .filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
         .withColumn("chance", chance)
         .withColumn("estimate", (same / F.lit(REGISTERS) - F.col("chance")) / (1 - F.col("chance")))
@@ -115,35 +158,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
     def run(batches):
         for batch in batches:
-            ok = []
-            ta, tb = tx.raw(batch.column(2)), tx.raw(batch.column(3))
-            last, kept = None, None
-            for lo in range(0, len(ta), 64):
-                for x, y in zip(shingle_sets(ta[lo : lo + 64], k), tb[lo : lo + 64], strict=True):
-                    if y != last:
-                        last, kept = y, next(shingle_sets([y], k))
-                    at = np.searchsorted(kept, x)
-                    both = int((kept[np.minimum(at, len(kept) - 1)] == x).sum()) if len(kept) else 0
-                    ok.append(100 * both >= percent * (len(x) + len(kept) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                ok = [reaches(x, y, k, percent) for x, y in zip(tx.raw(part.column(2)), tx.raw(part.column(3)), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
+
+    one = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
+    return _spread(_spread(pairs, "a", one), "b", two).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _tokens(texts: DataFrame, k: int) -> DataFrame:
-    """(rep, n, h) for every distinct shingle of the texts."""
+    """(rep, n, h) for every distinct shingle of the texts (uid, text)."""
 
     def run(batches):
         for batch in batches:
-            ids, column = batch.column(0).to_pylist(), tx.raw(batch.column(1))
-            for lo in range(0, len(ids), 256):
-                sets = list(shingle_sets(column[lo : lo + 256], k))
-                n = [len(u) for u in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[lo : lo + 256], np.int64), n)), pa.array(np.repeat(np.array(n, np.int64), n)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "n", "h"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = list(shingle_sets(tx.raw(part.column(1)), k))
+                n = np.array([len(u) for u in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["rep", "n", "h"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, h long")
+    return texts.select("uid", "text").mapInArrow(run, "rep long, n long, h long")
 
 
 def _sharing(tokens: DataFrame, percent: int) -> DataFrame:
@@ -164,23 +200,21 @@ def _sharing(tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(f"a > b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
-
-    Links join documents with 100 * intersection >= percent * union of their k-word shingle sets.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = shared.written(sketches(docs, k), "sketches")
-    classes = sk.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = shared.written(classes.filter("rep IS NOT NULL"), "classes")
+def _linked(docs: DataFrame, at: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written sketches of docs (see there) and (hi, lo, root) for every class of equal non-empty sets; classes of
+    one root are connected."""
+    sk = shared.written(sketches(docs, at, k), "sketches")
+    classes = sk.filter("n > 0").groupBy("hi", "lo").agg(F.min("uid").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = shared.written(classes, "classes")
     bands = classes.select("rep", F.posexplode("regs")).select("rep", F.xxhash64("pos", "col").alias("bucket"))
     several = bands.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead <> last")
     members = shared.written(bands.join(several.select("bucket", "lead"), "bucket"), "members")
-    # a rep's class has one set of shingles, whichever of its rows the text comes from
-    texts = shared.written(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = sk.select("uid", F.col(f"c{at}").alias("text"))
+    texts = shared.written(texts.join(members.select(F.col("rep").alias("uid")).distinct(), "uid", "left_semi"), "texts")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return shared.written(_confirmed(_estimated(pairs, classes, percent), texts, k, percent), "links")
+        near = shared.written(_estimated(pairs, classes, percent), "near")
+        return shared.written(_confirmed(near, texts, k, percent), "links")
 
     tried = shared.written(members.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "tried")
     roots = connected(links(tried))
@@ -190,14 +224,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
     apart = placed.join(split, "bucket").select("rep", "root").distinct()
     apart = shared.written(apart, "apart")
-    tokens = _tokens(texts.join(apart.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), k)
+    tokens = _tokens(texts.join(apart.select(F.col("rep").alias("uid")), "uid", "left_semi"), k)
     pairs = _sharing(shared.written(tokens, "tokens"), percent).join(tried, ["a", "b"], "left_anti")
     pairs = pairs.join(apart.select(F.col("rep").alias("a"), F.col("root").alias("x")), "a").join(apart.select(F.col("rep").alias("b"), F.col("root").alias("y")), "b")
     more = links(pairs.filter("x <> y").select("a", "b"))
     if not more.isEmpty():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    named = classes.select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return sk, named.select("hi", "lo", F.coalesce("root", "rep").alias("root"))
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ..., whatever their names were."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
-    named = classes.select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    full = sk.filter("n > 0").join(named, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = sk.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
+
+    Links join documents with 100 * intersection >= percent * union of their k-word shingle sets.
+    """
+    sk, named = _linked(_columns(docs.select(F.col("doc_id").cast("long"), "text")), 1, k, percent)
+    rows = sk.filter("n > 0").select(F.col("c0").alias("doc_id"), "n", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "n", "root")
+    rows = shared.written(rows, "rows")
+    # an id with several sets connects them
+    several = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("root").alias("b"), F.max("root").alias("last")).filter("b <> last")
+    both = shared.written(rows.join(several, "doc_id").filter("root <> b").select(F.col("root").alias("a"), "b").distinct(), "several")
+    if not both.isEmpty():
+        further = connected(both).select(F.col("node").alias("root"), F.col("root").alias("upper"))
+        rows = rows.join(further, "root", "left").select("doc_id", "n", F.coalesce("upper", "root").alias("root"))
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    full = rows.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = sk.filter("n = 0").select(F.col("c0").alias("doc_id"), F.col("n").alias("n_shingles"))
+    same = full.join(empty.select("doc_id"), "doc_id", "left_semi").select("doc_id", "component_id").distinct()
+    empty = empty.join(same, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return full.union(empty).withColumn("kept", F.expr("CASE WHEN component_id IS NULL THEN true ELSE coalesce(doc_id = component_id, false) END"))
+
+
+def unique_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of linked rows: that of smallest doc_id, of no id only if none has one. Rows with
+    an empty set all stay. No row goes for what another row of its id is linked with."""
+    sk, named = _linked(_columns(docs), docs.columns.index("text"), k, percent)
+    rows = sk.filter("n > 0").select("uid", F.col(f"c{docs.columns.index('doc_id')}").alias("doc_id"), "hi", "lo").join(named, ["hi", "lo"])
+    rows = shared.written(rows.select("uid", "doc_id", "root"), "rows")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best")).select("root", "best.uid")
+    gone = rows.join(best.withColumnRenamed("uid", "first"), "root").filter("uid <> first").select("uid")
+    kept = sk.join(gone, "uid", "left_anti").select(*[f"c{i}" for i in range(len(docs.columns))])
+    return kept.toDF(*docs.columns)

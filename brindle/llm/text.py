@@ -1,11 +1,13 @@
-"""Whole batches of texts as numpy byte buffers: words, rolling hashes, bounded pieces of long texts."""
+"""Texts as bytes: words and their hashes, rolling hashes of substrings, bounded pieces of long texts."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_digest
 
 #: Bytes of text that are worked on at once; longer texts come in several pieces.
 PIECE = 1 << 20
@@ -14,11 +16,7 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 #: A random 64-bit value for each byte, and odd powers with their inverses: hashes of substrings by prefix sums.
 BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256, dtype=np.uint64)
 _P = int(0x9E3779B97F4A7C15) | 1
-#: The same with A-Z taken for a-z.
-BYTE_FOLDED = BYTE.copy()
-BYTE_FOLDED[65:91] = BYTE[97:123]
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -69,12 +67,6 @@ def spans_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((pre[end] - pre[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without ASCII white space."""
-    edge = np.diff(np.concatenate(([1], SPACE[buf].view(np.int8), [1])))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-
-
 def raw(column: pa.Array) -> list[bytes]:
     """The texts of a string column as bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -92,28 +84,27 @@ def groups(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def word_hashes(texts: list[bytes], table: np.ndarray = BYTE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and the number of words up to each text (one longer than texts).
+def pieces_at_space(text: bytes, size: int = 0) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes that end at white space, so that no word is cut."""
+    size, at = size or PIECE, 0
+    while len(text) - at > size:
+        m = _SPACE.search(text, at + size)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
 
-    Texts beyond PIECE are cut at white space, so that the prefix sums stay bounded.
-    """
-    if sum(map(len, texts)) + len(texts) <= 2 * PIECE:
-        buf = np.frombuffer(b" ".join(texts), np.uint8)
-        if not len(buf):
-            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-        start, end = words(buf)
-        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-        return spans_hash(prefix(buf, table), start, end), np.searchsorted(start, offsets)
-    parts, count = [], [0]
+def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs without ASCII white space) of the texts in order, and the number of words up to each
+    text (one longer than texts). fold: A-Z count as a-z. Unlike hashes by prefix sums, these have no structure that
+    two words could share."""
+    parts, count = [np.zeros(0, np.uint64)], [0]
     for t in texts:
-        n = at = 0
-        while at < len(t):
-            end = min(len(t), at + PIECE)
-            while end < len(t) and not SPACE[t[end]]:
-                end += 1
-            buf = np.frombuffer(t[at:end], np.uint8)
-            s, e = words(buf)
-            parts.append(spans_hash(prefix(buf, table), s, e))
-            n, at = n + len(s), end
+        n = 0
+        for piece in pieces_at_space(t):
+            found = (piece.lower() if fold else piece).split()  # of bytes: ASCII only, in both
+            parts.append(np.frombuffer(b"".join(map(xxh3_64_digest, found)), "<u8"))
+            n += len(found)
         count.append(count[-1] + n)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(count)
+    return np.concatenate(parts), np.array(count)

@@ -88,6 +88,58 @@ def test_repeats_nulls_and_nothing(spark):
     got = sorted((tuple(r) for r in neardup.near_duplicates(df, 2).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 3, None, True), (2, 2, 1, False), (3, 0, 3, True)], key=str)
     assert neardup.near_duplicates(df.limit(0), 2).count() == 0
+    assert neardup.unique_rows(df.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts(spark):
+    x, y, z = "a b c d", "e f g h", "i j k l"
+    df = spark.createDataFrame([(1, x), (2, x), (2, y), (3, y), (3, ""), (4, z), (None, z), (5, "")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in neardup.near_duplicates(df, 2).collect()), key=str)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False), (3, 0, 1, False), (4, 3, 4, True), (None, 3, 4, False), (5, 0, 5, True)]
+    assert got == sorted(want, key=str)
+    wide = df.withColumn("uid", df.text).withColumn("root", df.doc_id)
+    rows = neardup.unique_rows(wide, 2)
+    assert rows.columns == wide.columns
+    assert sorted(((r.doc_id, r.text) for r in rows.collect()), key=str) == sorted([(1, x), (2, y), (3, ""), (4, z), (5, "")], key=str)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"x {t}"), (2, f"x {other}"), (3, f"X  {t}"), (4, f"p q r {t}"), (5, f"p q r {other}")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 2).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_sets_are_compared_by_their_words():
+    rng = random.Random(5)
+    for k in (1, 2, 5):
+        for _ in range(200):
+            a = [rng.choice("abc") for _ in range(rng.randrange(14))]
+            b = list(a) if rng.random() < 0.5 else [rng.choice("abc") for _ in range(rng.randrange(14))]
+            if b and rng.random() < 0.5:
+                b[rng.randrange(len(b))] = "D"
+            one, two = " ".join(a), "\t".join(b).upper()
+            x, y = shingles(one, k), shingles(two, k)
+            want = bool(x & y) and 100 * len(x & y) >= 80 * len(x | y)
+            assert neardup.reaches(one.encode(), two.encode(), k, 80) == want
+    long = b"word " * 500_000
+    assert neardup.reaches(long, long + b"end", 2, 50) and not neardup.reaches(long, b"word", 2, 50)
+
+
+def test_a_text_in_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEETS", 3)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in neardup.near_duplicates(df, 2).collect()} == brute(rows, 2, 80)
 
 
 def test_estimate_follows_similarity():
