@@ -7,7 +7,7 @@ one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import bpe, decontam, neardup, pii, quality, shared
@@ -22,11 +22,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group that is 80 per cent alike in five-word shingles, and one of
-    rows that repeat an id and its text."""
-    gone = neardup.near_duplicates(docs, k=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(docs.columns)
+    """Keeps one row of each group that is 80 per cent alike in five-word shingles, that of smallest id. Rows are told
+    apart by themselves, not by their ids, which may be null or repeat."""
+    return neardup.unique_rows(docs, k=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
