@@ -45,6 +45,8 @@ _LANES = np.array([0, 16, 32, 48], np.uint64)
 ESTIMABLE = 400
 #: Pairs that one copy of a text meets at most (about).
 MEETS = 2000
+#: Rows of two numbers that are broadcast at most.
+BROADCAST = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -126,10 +128,14 @@ def sketches(docs: DataFrame, at: int, k: int) -> DataFrame:
 
 
 def _spread(pairs: DataFrame, key: str, side: DataFrame) -> DataFrame:
-    """pairs joined with side (which has each key once). Keys of many pairs are salted: their row of side is repeated,
-    their pairs are spread over the copies."""
+    """pairs joined with side (which has each key once). Keys of many pairs, if there are any, are salted: their row of
+    side is repeated, their pairs are spread over the copies."""
     copies = F.expr(f"int(ceil(count / {MEETS}D))").alias("copies")
-    hot = pairs.groupBy(key).count().filter(F.col("count") > MEETS).select(key, copies)
+    hot = shared.written(pairs.groupBy(key).count().filter(F.col("count") > MEETS).select(key, copies), "hot")
+    n = hot.count()
+    if n == 0:
+        return pairs.join(side, key)
+    hot = F.broadcast(hot) if n <= BROADCAST else hot
     salted = pairs.join(hot, key, "left").withColumn("salt", F.expr("CASE WHEN copies IS NULL THEN 0 ELSE pmod(xxhash64(a, b), copies) END").cast("int")).drop("copies")
     many = side.join(hot, key, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
     return salted.join(many, [key, "salt"]).drop("salt")
@@ -186,18 +192,20 @@ def _sharing(tokens: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a > b, that share one of their rarest shingles, as many as similar sets must.
 
     Of a set's n shingles in order of rarity, a similar set must have one of the first n - ceil(percent / 100 * n) + 1.
-    Shingles that only one set has come first, so they are only counted.
+    Shingles that only one set has come first, so they are only counted. What two sets share begins with the first
+    that they share in this order, so the shingles that follow it in both bound how much that is.
     """
     common = tokens.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     known = tokens.join(common, "h")
     order = Window.partitionBy("rep").orderBy("df", "h")
     whole = Window.partitionBy("rep").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = known.withColumn("r", F.row_number().over(order)).withColumn("common", F.count("*").over(whole))
-    prefix = ranked.filter(f"r + n - common <= n - ceil(n * {percent} / 100D) + 1").select("rep", "n", "h")
+    ranked = known.withColumn("r", F.row_number().over(order)).withColumn("common", F.count("*").over(whole)).withColumn("left", F.expr("common - r"))
+    prefix = ranked.filter(f"n - left <= n - ceil(n * {percent} / 100D) + 1").select("rep", "n", "h", "left")
     prefix = shared.written(prefix, "prefix")
-    other = prefix.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    pairs = prefix.select("h", F.col("rep").alias("a"), F.col("n").alias("na")).join(other, "h")
-    return pairs.filter(f"a > b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    one, two = (prefix.select("h", F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
+    pairs = one.join(two, "h").filter(f"a > b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    pairs = pairs.groupBy("a", "b").agg(F.max(F.expr("na + nb")).alias("sum"), F.max("left_a").alias("left_a"), F.max("left_b").alias("left_b"))
+    return pairs.filter(f"(1 + least(left_a, left_b)) * {100 + percent} >= {percent} * sum").select("a", "b")
 
 
 def _linked(docs: DataFrame, at: int, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
