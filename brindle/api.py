@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle import dialect
+from brindle.analysis import run_query
 from brindle.errors import BinderError, ConflictError, DatabaseClosedError, DatabaseError, DataError, ExecutionError, NotSupportedError, ParserError, ProgrammingError
 from brindle.result import Result
 from brindle.session import SEMANTICS, build_session
@@ -40,7 +41,8 @@ class Transaction:
             self.pinned = {n: database.latest(n) for n, t in database.tables.items()}
             database.active.add(self)
         self.deltas: dict[str, Delta] = {}
-        self.reads: list[tuple[str, str]] = []
+        #: What a serializable transaction has scanned: tables, and of a changed one the condition, None for all rows.
+        self.reads: list[tuple[str, tuple[dialect.Token, ...] | None]] = []
 
     def end(self) -> None:
         self.database.active.discard(self)
@@ -231,9 +233,8 @@ class Connection:
         delta = txn.deltas.get(table.name.lower()) or Delta(managed, txn.pinned[table.name.lower()])
         return delta.view(managed)
 
-    def _register(self, txn: Transaction, toks: list[dialect.Token], hidden: str = "") -> dict[str, T.DataType]:
-        """Puts every table that the tokens may read in reach, as views; returns their columns' types."""
-        columns: dict[str, T.DataType] = {}
+    def _register(self, txn: Transaction, toks: list[dialect.Token], hidden: str = "") -> None:
+        """Puts every table that the tokens may read in reach, as views; that named hidden with its rows' places."""
         names = dialect.referenced(toks)
         for key, table in list(self._db.tables.items()):
             if key not in names and key != hidden:
@@ -244,18 +245,15 @@ class Connection:
             if key != hidden:
                 view = view.select(*[F.col(f"`{n}`") for n in table.schema.names])
             view.createOrReplaceTempView(f"`{table.name}`")
-            for f in table.schema.fields:
-                seen = columns.get(f.name.lower(), f.dataType)
-                columns[f.name.lower()] = f.dataType if seen == f.dataType else T.NullType()
-            if txn.isolation == "serializable" and not table.external:
-                txn.reads.append((key, "true"))
+            if txn.isolation == "serializable" and not table.external and key in names:
+                txn.reads.append((key, None))
         for view in self.spark.catalog.listTables():
             if view.isTemporary and view.name.lower() not in self._db.tables:
                 self.spark.catalog.dropTempView(view.name)
-        return columns
 
     def _select(self, txn: Transaction, toks: list[dialect.Token]) -> DataFrame:
-        return self.spark.sql(dialect.render(toks, self._register(txn, toks)))
+        self._register(txn, toks)
+        return run_query(self.spark, toks)
 
     def _explain(self, toks: list[dialect.Token], modes: list[str]) -> str:
         for m in modes:
@@ -263,7 +261,7 @@ class Connection:
                 raise ParserError(f"unknown EXPLAIN mode {m}")
         kind = dialect.parse(toks)
         if kind.kind != "query":
-            toks = [dialect.Token("word", "SELECT"), dialect.Token("op", "*"), dialect.Token("word", "FROM"), dialect.Token("quoted", f'"{kind.table}"'), *([dialect.Token("word", "WHERE"), *kind.where] if kind.where else [])] if kind.kind in ("update", "delete") else kind.body
+            toks = [*dialect.tokens("SELECT * FROM"), dialect.quoted(kind.table), *([*dialect.tokens("WHERE"), *kind.where] if kind.where else [])] if kind.kind in ("update", "delete") else kind.body
         with self._statement() as txn:
             df = self._select(txn, toks)
             q = df._jdf.queryExecution()
@@ -290,32 +288,30 @@ class Connection:
     # writing
 
     def _rows(self, txn: Transaction, table: TableDef, s: dialect.Statement) -> DataFrame:
-        df = self.spark.sql(dialect.render(s.body, self._register(txn, s.body)))
-        return fit(df, table, table.user_columns)
+        return fit(self._select(txn, s.body), table, table.user_columns)
 
-    def _target(self, txn: Transaction, table: TableDef, s: dialect.Statement, ids: list[str]) -> tuple[DataFrame, DataFrame]:
-        """(ids of the rows that WHERE matches, these rows with SET applied), both by Spark SQL over one view."""
+    def _target(self, txn: Transaction, table: TableDef, s: dialect.Statement) -> DataFrame:
+        """The rows that WHERE matches, with their places and with SET applied."""
         key = table.name.lower()
         toks = [*s.where, *[t for _, e in s.sets for t in e]]
-        columns = self._register(txn, toks, hidden=key)
-        if txn.isolation == "serializable" and not table.external:
-            txn.reads[-1:] = [(key, dialect.render(s.where, columns) if s.where and "select" not in dialect.referenced(s.where) else "true")]
-        where = f" WHERE {dialect.render(s.where, columns)}" if s.where else ""
-        name = f"`{table.name}`"
-        matching = self.spark.sql(f"SELECT {', '.join(ids)} FROM {name}{where}")
-        sets = {}
+        self._register(txn, toks, hidden=key)
+        if txn.isolation == "serializable" and not table.external and key not in dialect.referenced(toks):
+            txn.reads.append((key, None if "select" in dialect.referenced(s.where) else tuple(s.where)))
+        sets: dict[str, list[dialect.Token]] = {}
         for column, e in s.sets:
             f = next((f for f in table.schema.fields if f.name.lower() == column.lower()), None)
             if f is None:
                 raise BinderError(f"{table.name} has no column {column}")
             if f.name in sets:
                 raise BinderError(f"column {column} is set twice")
-            sets[f.name] = dialect.render(e, columns)
-        new = self.spark.sql(f"SELECT *{''.join(f', ({e}) AS `__set_{c}`' for c, e in sets.items())} FROM {name}{where}")
+            sets[f.name] = e
+        listed = [t for c, e in sets.items() for t in [*dialect.tokens(", ("), *e, *dialect.tokens(f') AS "__set_{c}"')]]
+        where = [*dialect.tokens("WHERE"), *s.where] if s.where else []
+        new = run_query(self.spark, [*dialect.tokens("SELECT *"), *listed, *dialect.tokens("FROM"), dialect.quoted(table.name), *where])
         for c in sets:
             f = table.schema[c]
             new = new.withColumn(c, assigned(F.col(f"`__set_{c}`"), new.schema[f"__set_{c}"].dataType, f, table.notes.get(c, {})))
-        return matching, new.drop(*[f"__set_{c}" for c in sets])
+        return new.drop(*[f"__set_{c}" for c in sets])
 
     def _change(self, txn: Transaction, table: TableDef, s: dialect.Statement) -> int:
         managed, key = ManagedTable(self.spark, table), table.name.lower()
@@ -325,8 +321,7 @@ class Connection:
         if s.kind == "insert":
             n = delta.insert(managed, self._rows(txn, table, s))
         else:
-            matching, new = self._target(txn, table, s, [RID])
-            n = delta.replace(managed, matching, new if s.kind == "update" else None)
+            n = delta.replace(managed, self._target(txn, table, s), s.kind == "update")
         if s.kind == "insert" or {c.lower() for c, _ in s.sets} & {c.lower() for c in table.primary_key}:
             self._db.check_keys(managed, delta, None)
         self._db.check_writes(txn, managed, delta)
@@ -336,23 +331,9 @@ class Connection:
     def _change_external(self, txn: Transaction, table: TableDef, s: dialect.Statement) -> int:
         ext = ExternalTable(self.spark, table)
         if s.kind == "insert":
-            rows = self._rows(txn, table, s)
-            n = rows.count()
-            if n:
-                ext.append(rows)
-            return n
+            return ext.append(self._rows(txn, table, s))
         version = ext.log.latest()
-        matching, new = self._target(txn, table, s, ["__file", "__row"])
-        matching = matching.distinct()
-        n = matching.count()
-        if n:
-            def changed(rows: DataFrame) -> DataFrame:
-                placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-                rest = placed.join(matching, ["__file", "__row"], "left_anti").select(table.schema.names)
-                return rest.union(new.select(table.schema.names)) if s.kind == "update" else rest
-
-            ext.rewrite(version, matching, changed)
-        return n
+        return ext.rewrite(version, self._target(txn, table, s), s.kind == "update")
 
     # tables
 
@@ -376,7 +357,7 @@ class Connection:
 
     def get_table(self, name: str) -> Result:
         self._db.find(name)
-        return self.sql('SELECT * FROM "' + name.replace('"', '""') + '"')
+        return self.sql("SELECT * FROM " + dialect.quoted(name).text)
 
     def remove_table(self, name: str, *, if_exists: bool = False) -> bool:
         self._open()
@@ -513,6 +494,10 @@ class Database:
             base = table.scan(delta.version)
             if delta.touched:
                 base = base.join(delta.touched_frame(table), RID, "left_anti")
+        ends = rows.agg(*[f(k) for k in key for f in (F.min, F.max)]).first()
+        for k, low, high in zip(key, ends[::2], ends[1::2], strict=True):
+            if low is not None:
+                base = base.filter(k.between(low, high))  # by row group statistics
         if not base.select(*key).join(rows.select(*key), names, "left_semi").isEmpty():
             raise ConflictError(f"a primary key of {table.table.name} is there already")
 
@@ -572,7 +557,7 @@ class Database:
 
     def _validate(self, txn: Transaction, spark: SparkSession) -> None:
         """ConflictError if a later commit wrote rows that one of the transaction's scans would have seen, before or after."""
-        for key, predicate in dict.fromkeys(txn.reads):
+        for key, where in dict.fromkeys(txn.reads):
             if key not in self.tables or key not in txn.pinned:
                 continue
             table = ManagedTable(spark, self.tables[key])
@@ -585,7 +570,10 @@ class Database:
                 if table.manifest(v)["changes"]:
                     c = table.changes(v)
                     written = written.unionByName(old.join(c, RID, "left_semi")).unionByName(new.join(c, RID, "left_semi"))
-            if not written.filter(predicate).isEmpty():
+            if where:
+                written.createOrReplaceTempView(f"`{table.table.name}`")
+                written = run_query(spark, [*dialect.tokens("SELECT * FROM"), dialect.quoted(table.table.name), *dialect.tokens("WHERE"), *where])
+            if not written.isEmpty():
                 raise ConflictError(f"what was read of {table.table.name} has changed since")
 
     def collect_garbage(self) -> dict:

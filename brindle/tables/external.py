@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.errors import BinderError
@@ -60,23 +62,34 @@ class ExternalTable:
     def _commit(self, version: int, files: list[str]) -> None:
         self.log.commit(version + 1, {"files": [os.path.relpath(f, self.table.location) for f in files]})
 
-    def append(self, rows: DataFrame) -> None:
+    def append(self, rows: DataFrame) -> int:
+        """Adds rows, which are evaluated once; returns how many."""
         version = self.log.latest()
         new = write_files(rows, self.table.location)
-        self._commit(version, self.files(version) + new)
-
-    def rewrite(self, version: int, matching: DataFrame, changed) -> None:
-        """Rewrites the files that ``matching`` (rows with the __file they come from) touches by ``changed``, which takes
-        the rows of all of them; the others stay as they are."""
-        touched = touched_files(matching)
-        if not touched:
-            return
-        files = self.files(version)
-        kept = [f for f in files if f not in touched]
-        if len(kept) + len(touched) != len(files):
-            raise BinderError(f"{self.table.name}: a touched file is not in the manifest")
-        new = write_files(changed(from_files(self.spark, self.table.schema, touched)), self.table.location)
-        self._commit(version, kept + new)
+        n = from_files(self.spark, self.table.schema, new).count()
+        if n:
+            self._commit(version, self.files(version) + new)
+        return n
+
+    def rewrite(self, version: int, hits: DataFrame, update: bool) -> int:
+        """Takes ``hits`` (changed rows with their places __file and __row) out and, on update, puts them in again as they
+        are; returns how many. They are evaluated once; only files that they come from are read and written again."""
+        schema = T.StructType([*(self.table.schema.fields if update else []), T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType())])
+        staged = write_files(hits.select(*[F.col(f"`{n}`") for n in schema.names]), os.path.join(self.table.location, "_staged"))
+        changed = from_files(self.spark, schema, staged)
+        n = changed.count()
+        if n:
+            touched, files = touched_files(changed), self.files(version)
+            kept = [f for f in files if f not in touched]
+            if len(kept) + len(touched) != len(files):
+                raise BinderError(f"{self.table.name}: a touched file is not in the manifest")
+            old = from_files(self.spark, self.table.schema, touched).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+            rows = old.join(changed.select("__file", "__row"), ["__file", "__row"], "left_anti").select(*[F.col(f"`{c}`") for c in self.table.schema.names])
+            if update:
+                rows = rows.union(changed.select(*[F.col(f"`{c}`") for c in self.table.schema.names]))
+            self._commit(version, kept + write_files(rows, self.table.location))
+        shutil.rmtree(os.path.dirname(staged[0]) if staged else "", ignore_errors=True)
+        return n
 
     def vacuum(self) -> int:
         """Removes data files that the newest manifest doesn't name, and older manifests; returns how many files."""

@@ -20,6 +20,8 @@ from brindle.tables.base import TableDef, from_files, touched_files, with_file,
 from brindle.tables.manifest import ManifestLog
 
 RID = "__rid"
+#: Files of fewer bytes are merged by the next commit when there are so many.
+SMALL, MANY = 1 << 20, 32
 _RIDS = T.StructType([T.StructField(RID, T.LongType())])
 
 
@@ -53,10 +55,15 @@ class ManagedTable:
             m = self.manifest(latest)
             files, touched = m["files"], delta.touched_frame(self)
             if delta.touched and files:
-                hit = touched_files(with_file(from_files(self.spark, self.schema, files)).join(touched, RID, "left_semi"))
+                low, high = touched.agg(F.min(RID), F.max(RID)).first()
+                near = with_file(from_files(self.spark, self.schema, files)).filter(F.col(RID).between(low, high))  # by row group statistics
+                hit = touched_files(near.join(touched, RID, "left_semi"))
                 if hit:
                     rest = from_files(self.spark, self.schema, hit).join(touched, RID, "left_anti")
                     files = [f for f in files if f not in hit] + write_files(rest, self.table.location)
+            small = [f for f in files if os.path.getsize(f) < SMALL]
+            if len(small) >= MANY:
+                files = [f for f in files if f not in small] + write_files(from_files(self.spark, self.schema, small).coalesce(1), self.table.location)
             try:
                 self.log.commit(latest + 1, {"files": files + delta.rows, "changes": delta.touched, "next": max(m["next"], delta.next)})
                 return latest + 1
@@ -116,16 +123,19 @@ class Delta:
         self.next += n
         return n
 
-    def replace(self, table: ManagedTable, matching: DataFrame, new: DataFrame | None) -> int:
-        """Takes the rows ``matching`` (rids) out of the view and puts ``new`` (full rows) in; returns how many."""
-        rids = write_files(matching.select(RID).distinct(), table.table.location)
+    def replace(self, table: ManagedTable, hits: DataFrame, update: bool) -> int:
+        """Takes ``hits`` (changed rows with their rids) out of the view and, on update, puts them in again as they are;
+        returns how many. They are evaluated once."""
+        names = [f"`{f.name}`" for f in table.schema.fields]
+        rows = write_files(hits.select(*names), table.table.location) if update else []
+        rids = from_files(table.spark, table.schema, rows) if update else hits
+        rids = write_files(rids.select(RID), table.table.location)
         gone = from_files(table.spark, _RIDS, rids)
         n = gone.count()
         if n == 0:
             return 0
-        rows = write_files(new.select(*[f.name for f in table.schema.fields]), table.table.location) if new is not None else []
         if self.rows:
-            rest = from_files(table.spark, table.schema, self.rows).join(gone, RID, "left_anti").select(*[f.name for f in table.schema.fields])
+            rest = from_files(table.spark, table.schema, self.rows).join(gone, RID, "left_anti").select(*names)
             self.rows = write_files(rest, table.table.location)
         self.touched, self.rows = self.touched + rids, self.rows + rows
         return n

@@ -155,6 +155,63 @@ def test_serializable(db):
     assert rows(db.sql("SELECT * FROM t")) == [(1, 0), (2, 1)]
 
 
+@pytest.mark.parametrize(("sql", "types", "want"), [
+    ("SELECT t.a / t.b, t.c / t.a, u.a / t.a FROM t, u WHERE t.a = 7", ["INTEGER", "BIGINT", "DOUBLE"], [(3, 1, 2.5 / 7)]),
+    ("WITH w AS (SELECT a / 2 AS h FROM t) SELECT h / 2, (h + 1) / 2, h / 2.0 FROM w WHERE h = 3", ["INTEGER", "INTEGER", "DOUBLE"], [(1, 2, 1.5)]),
+    ("SELECT a / 2 FROM (SELECT a * 1.5 AS a FROM t WHERE a = 7) y", ["DOUBLE"], [(5.25,)]),
+    ("SELECT (a + b) / 2 / 2, CASE WHEN a > 1 THEN a ELSE b END / 2, sum(a) OVER () / 3 FROM t WHERE a = 7", ["INTEGER", "INTEGER", "BIGINT"], [(2, 3, 2)]),
+    ("SELECT sum(a) / count(*) FROM t GROUP BY b / 2 HAVING sum(a) / 2 > 1", ["BIGINT"], [(4,)]),
+    ("SELECT a FROM t WHERE a / 2 IN (SELECT max(c) / 3 FROM t) AND a / (SELECT max(b) / 1 FROM t) = 3", ["INTEGER"], [(7,)]),
+    ("SELECT a / 2.5 / 2, x / CAST(2 AS SMALLINT), -a / 2, NULL / 2 FROM (SELECT t.a, x FROM t, u WHERE b = 2 AND t.a = 7) z", ["DOUBLE", "SMALLINT", "INTEGER", "DOUBLE"], [(1.4, 1, -3, None)]),
+])
+def test_division_by_types_of_the_analysed_plan(db, sql, types, want):
+    db.execute_script("CREATE TABLE t(a INT, b INT, c BIGINT); CREATE TABLE u(a DOUBLE, x SMALLINT); INSERT INTO t VALUES (7, 2, 9), (1, 2, 3); INSERT INTO u VALUES (2.5, CAST(3 AS SMALLINT))")
+    r = db.sql(sql)
+    assert (r.types, r.tuples()) == (types, want)
+
+
+def test_division_in_changes(db):
+    db.execute_script("CREATE TABLE t(a INT, d DOUBLE); CREATE TABLE u(d INT); INSERT INTO t VALUES (7, 7), (9, 9); INSERT INTO u VALUES (5); UPDATE t SET a = a / 2, d = d / 2 WHERE a / 2 = (SELECT d / 2 + 1 FROM u); DELETE FROM t WHERE a / 4 = 2")
+    assert rows(db.sql("SELECT a, d FROM t")) == [(3, 3.5)]
+
+
+def test_serializable_reads_of_subqueries(db):
+    db.execute_script("CREATE TABLE t(id INT PRIMARY KEY, v INT); CREATE TABLE u(id INT PRIMARY KEY, w INT); INSERT INTO t VALUES (1, 1); INSERT INTO u VALUES (1, 5)")
+    a, b = db.connect(), db.connect()
+    a.begin("serializable"), b.begin("serializable")
+    a.sql("UPDATE t SET v = (SELECT max(w) FROM u)")
+    b.sql("UPDATE u SET w = (SELECT max(v) FROM t) + 100")
+    a.commit()
+    with pytest.raises(E.ConflictError):
+        b.commit()
+    a.begin("serializable"), b.begin("serializable")
+    a.sql("UPDATE t SET v = 9 WHERE id / 2 = 4")  # reads nothing that b writes
+    b.sql("UPDATE t SET v = 7 WHERE id = 1")
+    b.commit(), a.commit()
+    assert rows(db.sql("SELECT v FROM t")) == [(7,)] and rows(db.sql("SELECT w FROM u")) == [(5,)]
+
+
+def test_sources_are_evaluated_once(db, tmp_path):
+    db.execute_script(f"CREATE TABLE x(r DOUBLE) WITH (format='parquet', location='{tmp_path / 'x'}'); CREATE TABLE n(id INT PRIMARY KEY, r DOUBLE); INSERT INTO n SELECT CAST(id AS INT), 0.0 FROM range(200)")
+    n = db.sql("INSERT INTO x SELECT rand() FROM range(1000) WHERE rand() < 0.5").affected_rows
+    assert 0 < n < 1000 and db.sql("SELECT count(*) FROM x").tuples() == [(n,)]
+    for t, most in (("x", n), ("n", 200)):
+        k = db.sql(f"UPDATE {t} SET r = 2 + rand() WHERE rand() < 0.5").affected_rows
+        assert 0 < k < most and db.sql(f"SELECT count(*) FROM {t} WHERE r >= 2").tuples() == [(k,)]
+        assert db.sql(f"SELECT count(*) FROM {t}").tuples() == [(most,)]
+
+
+def test_small_files_are_merged(db, monkeypatch):
+    from brindle.tables import managed
+
+    monkeypatch.setattr(managed, "MANY", 4)
+    db.sql("CREATE TABLE t(id INT PRIMARY KEY)")
+    for i in range(9):
+        db.sql(f"INSERT INTO t VALUES ({i})")
+    table = managed.ManagedTable(db.spark, db.tables["t"])
+    assert len(table.manifest()["files"]) < 5 and db.sql("SELECT count(*), sum(id) FROM t").tuples() == [(9, 36)]
+
+
 def test_external(db, spark, tmp_path):
     folder = tmp_path / "x"
     spark.createDataFrame([(1, "hello")], "i int, j string").coalesce(1).write.parquet(str(tmp_path / "w"))
