@@ -94,6 +94,39 @@ def test_altered_run_of_a_repeated_word(spark):
     assert len(found) == 19 and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_long_item(spark):
+    rng = random.Random(6)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(2000)] + ["a"] * 100
+    near = [w if rng.random() > 0.01 else "x" for w in item]
+    far = [w if rng.random() > 0.1 else "x" for w in item]
+    docs = [(1, " ".join(["b"] * 50 + near + ["c"] * 5000)), (2, " ".join(far)), (3, " ".join(item[:1900])), (4, " ".join(item[100:]))]
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: (r.similarity, r.start_word) for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+
+    def features(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    want = features(item)
+    assert set(found) == {1, 3, 4}
+    assert found[1] == (pytest.approx((features(near) & want).total() / (features(near) | want).total()), 50)
+    assert found[3][0] == pytest.approx(1896 / 2096) and found[4][0] == pytest.approx(1996 / 2096)
+
+
+def test_recall_of_the_index_at_the_threshold(spark):
+    rng = random.Random(8)
+    items, docs = [], []
+    for i in range(400):  # one word put in for another near the end: similarity just above 0.8
+        w = [f"w{rng.randrange(10**6)}" for _ in range(49 + i % 5)]
+        v = list(w)
+        v[10] = "x"
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join(v)))
+    want = {k: s for d, i in zip(docs, items, strict=True) for k, s in brute([d], [i]).items()}
+    assert len(want) == 400 and max(want.values()) < 0.83
+    found = got(decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert found == pytest.approx(want)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     tables = {n: [tuple(r) for r in spark.read.parquet(f"{sf}/{n}.parquet").select(k, "text").collect()] for n, k in (("documents", "doc_id"), ("benchmark", "item_id"))}
