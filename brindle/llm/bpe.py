@@ -3,8 +3,8 @@
 Pieces of equal length form the rows of one matrix of token ids. In each round every row finds its adjacent pair of
 minimum rank (the leftmost on ties) through a hashed pair table, merges it and is compacted by one column; rows with
 no pair left drop out. A piece that is itself a token is that token, as in the tiktoken library. Pieces longer than
-LONG_PIECE bytes would need as many rounds as they have bytes, so they take a heap over a linked list instead, which
-merges the same pairs in the same order in O(n log n).
+LONG_PIECE bytes would need as many rounds as they have bytes, so they are rows of their own, in which a round merges
+every pair of the minimum rank: the same merges in as many rounds as there are different ranks.
 
 Defined results: a null text is encoded as the empty text (no ids); an empty table gives no rows; repeated rows are
 each encoded; further columns are ignored, whatever their names.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes beyond which a piece is merged with a heap.
+#: Bytes beyond which a piece is a row of its own.
 LONG_PIECE = 256
 #: Matrix cells that are worked on at once, and pieces that a worker remembers.
 CELLS, REMEMBERED = 1 << 18, 300_000
@@ -114,6 +113,10 @@ class BytePairs:
         triples = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         cols = np.array(triples, np.uint32).reshape(-1, 3)
         self.pairs = PairTable(cols[:, 0], cols[:, 1], cols[:, 2])
+        #: Tokens of which a pair has their own rank or one below.
+        self.falling = np.zeros(n, bool)
+        for part in (cols[:, 0], cols[:, 1]):
+            self.falling[part[cols[:, 2] <= part]] = True
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -149,25 +152,31 @@ class BytePairs:
                 r = np.flatnonzero(best < w - 2)
                 ranks[r, best[r]] = self.pairs.find(ids[r, best[r]], ids[r, best[r] + 1])
 
-    def merge_long(self, piece: bytes) -> list[int]:
-        """The same merges for one long piece, by a heap of (rank, position)."""
-        parts = [bytes([b]) for b in piece]
-        n = len(parts)
-        after, before, alive, ranks = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, self.ranks
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or ranks.get(parts[i] + parts[j]) != r:
-                continue
-            parts[i], alive[j], after[i] = parts[i] + parts[j], False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (x := ranks.get(parts[i] + parts[after[i]])) is not None:
-                    heapq.heappush(heap, (x, i))
-            if (b := before[i]) >= 0 and (x := ranks.get(parts[b] + parts[i])) is not None:
-                heapq.heappush(heap, (x, b))
-        return [ranks[p] for p, a in zip(parts, alive, strict=True) if a]
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """The same merges for one long piece: a row of its own, whose pairs of minimum rank are merged in one round.
+
+        A merge makes no pair of its own rank or below unless its token is one of ``falling``, so the row's next rounds
+        would merge just these; of those a round merges the leftmost alone.
+        """
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == least)
+            if self.falling[least]:
+                at = at[:1]
+            elif len(at) > 1:  # of pairs that overlap every other one, from the left
+                each = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, each, 0))
+                at = at[(each - run) % 2 == 0]
+            ids[at] = least
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids = ids[stays]
+            ranks = np.delete(ranks, at)
+            at = at - np.arange(len(at))  # where the merged ones are now
+            near = np.unique(np.concatenate((at[at > 0] - 1, at[at < len(ids) - 1])))
+            ranks[near] = self.pairs.find(ids[near], ids[near + 1])
+        return ids
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Each distinct piece's ids as little-endian unsigned 32-bit integers."""
@@ -178,7 +187,7 @@ class BytePairs:
             if (whole := self.ranks.get(raw)) is not None:
                 found[p] = whole.to_bytes(4, "little")
             elif len(raw) > LONG_PIECE:
-                found[p] = np.array(self.merge_long(raw), "<u4").tobytes()
+                found[p] = self.merge_long(raw).astype("<u4").tobytes()
             else:
                 by_length.setdefault(len(raw), []).append((p, raw))
         for length, rows in by_length.items():

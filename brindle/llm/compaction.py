@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 FANOUT = 4
 #: Bytes that merged files aim at, and bytes under which all shards are of the lowest tier.
 TARGET, SMALL = 64 << 20, 1 << 20
+#: Bytes in memory that make a row group of a merged file, and rows at most.
+GROUP, GROUP_ROWS = 64 << 20, 1 << 20
 #: Rows of an appended shard at most.
 SHARD_ROWS = 2000
 
@@ -182,39 +184,54 @@ class ShardStore:
 
     def _merge(self, groups: list[list[Shard]]) -> list[tuple[int, str, int, int]]:
         base, root, target, batch = self.base, self.root, self.target, uuid.uuid4().hex
+        group_bytes = min(GROUP, target)  # a file is closed after a row group
 
         def run(batches):
             fs, _ = pafs.FileSystem.from_uri(root)
             fs.create_dir(f"{base}/data/{batch}", recursive=True)
             for rows in batches:
                 for group, names in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    out, schema, done, k, rows_out = None, None, [], 0, 0
+                    done, schema = [], None
+                    out = stream = None
+                    held: list[pa.RecordBatch] = []
+
+                    def flush():
+                        nonlocal out, stream, temp
+                        if out is None:
+                            temp = f"{base}/data/{batch}/.{uuid.uuid4().hex}"
+                            stream = fs.open_output_stream(temp)
+                            out = pq.ParquetWriter(stream, schema, compression="snappy")
+                            done.append([group, f"{batch}/{group:06d}-{len(done):03d}.parquet", 0, 0])
+                        if held:
+                            table = pa.Table.from_batches(held, schema)
+                            out.write_table(table, row_group_size=max(1, table.num_rows))
+                            done[-1][3] += table.num_rows
+                            held.clear()
 
                     def close():
+                        nonlocal out
                         out.close()
                         stream.close()
-                        final = f"{batch}/{group:06d}-{k:03d}.parquet"
-                        fs.move(temp, f"{base}/data/{final}")
-                        done.append((group, final, fs.get_file_info(f"{base}/data/{final}").size, rows_out))
+                        final = f"{base}/data/{done[-1][1]}"
+                        fs.move(temp, final)
+                        done[-1][2] = fs.get_file_info(final).size
+                        out = None
 
+                    temp, size, n = "", 0, 0
                     for name in names:
                         with fs.open_input_file(f"{base}/data/{name}") as source:
                             f = pq.ParquetFile(source)
                             schema = schema or f.schema_arrow
-                            for piece in f.iter_batches(8192 if f.metadata.num_rows < 10**6 else 1024):
-                                if out is None:
-                                    temp, rows_out = f"{base}/data/{batch}/.{uuid.uuid4().hex}", 0
-                                    stream = fs.open_output_stream(temp)
-                                    out = pq.ParquetWriter(stream, schema, compression="snappy")
-                                out.write_batch(piece.cast(schema))
-                                rows_out += piece.num_rows
-                                if stream.tell() >= target:
-                                    close()
-                                    out, k = None, k + 1
-                    if out is None and not done:  # only empty shards
-                        temp, rows_out = f"{base}/data/{batch}/.{uuid.uuid4().hex}", 0
-                        stream = fs.open_output_stream(temp)
-                        out = pq.ParquetWriter(stream, schema, compression="snappy")
+                            for piece in f.iter_batches(1024):
+                                held.append(piece.cast(schema))
+                                size, n = size + piece.nbytes, n + piece.num_rows
+                                if size >= group_bytes or n >= GROUP_ROWS:
+                                    flush()
+                                    size = n = 0
+                                    if stream.tell() >= target:
+                                        close()
+                    if held or not done:  # the rest, or only empty shards
+                        flush()
                     if out is not None:
                         close()
                     cols = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)]

@@ -1,9 +1,10 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations.
 
 Numbers and dates that validate (Luhn, mod 97, octets, calendar, number plans) and addresses are replaced by others of
-the same format that validate too. Each kind and layout has its own permutation of the set of valid values, so equal
-values get equal pseudonyms in every document, different ones different, and whoever has the key can go back. A value
-is read as a number in mixed radix over the alphabets of its positions; ten Feistel rounds keyed with BLAKE2b permute
+the same format that validate too. Each kind has its own permutation of the set of valid values, whatever their layout,
+so equal values get equal pseudonyms in every document, different ones different, and whoever has the key can go back
+(``back``). A telephone number is its digits, a North American one with or without +1; a date is its day, of which the
+permutation keeps what layouts depend on (months and days below 10, days above 12). A value is read as a number in mixed radix over the alphabets of its positions; ten Feistel rounds keyed with BLAKE2b permute
 the next even number of bits, and the permutation is walked on until its result is in range and valid, which keeps it
 one to one.
 
@@ -14,6 +15,7 @@ further columns are left out or, with ``keep``, passed on, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 ROUNDS = 10
+#: Country codes of two digits; 1 and 7 have one, the others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Pseudonyms that a worker remembers.
 REMEMBERED = 100_000
 
@@ -107,11 +111,15 @@ class Pseudonyms:
     }
     NEEDS = re.compile(r"[0-9@]|(?i:key|secret|token|passw)")
 
-    def __init__(self, key: bytes):
-        self.feistel, self.known = Feistel(key), {}
+    def __init__(self, key: bytes, back: bool = False):
+        """back: finds pseudonyms and puts the values in that they stand for."""
+        self.feistel, self.known, self.back = Feistel(key), {}, back
+
+    def _permute(self, x: int, n: int, tweak: bytes, valid: Callable[[int], bool] | None = None) -> int:
+        return self.feistel.permute(x, n, tweak, valid, self.back)
 
     def _spell(self, kind: str, value: str, alphabets: list[str], valid: Callable[[str], bool] | None = None) -> str:
-        """Permutes value over its alphabets; the layout is part of the tweak."""
+        """Permutes value over its alphabets, which are part of the tweak."""
         n = 1
         for a in alphabets:
             n *= len(a)
@@ -119,7 +127,7 @@ class Pseudonyms:
             return value
         ok = None if valid is None else lambda x: valid(from_number(x, alphabets))
         tweak = f"{kind}|{len(value)}|{'|'.join(alphabets)}".encode()
-        return from_number(self.feistel.permute(to_number(value, alphabets), n, tweak, ok), alphabets)
+        return from_number(self._permute(to_number(value, alphabets), n, tweak, ok), alphabets)
 
     @staticmethod
     def _refill(layout: str, digits: str) -> str:
@@ -153,7 +161,7 @@ class Pseudonyms:
         x = 0
         for p in parts:
             x = x * 256 + int(p)
-        x = self.feistel.permute(x, 1 << 32, b"ip")
+        x = self._permute(x, 1 << 32, b"ip")
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
     def _date(self, value: str) -> str | None:
@@ -171,19 +179,16 @@ class Pseudonyms:
         n = datetime.date(2100, 1, 1).toordinal() - start
         if not 0 <= at.toordinal() - start < n:
             return None
-        padded = all(len(p) == 2 for i, p in enumerate(parts) if i != first)
+        kind = (month < 10, day < 10, day > 12)  # layouts show these by width, and which of the two is the month
 
-        def told(x: int) -> bool:
-            """The same layout must read as the same kind of date: d > 12 tells day-first from month-first."""
+        def same(x: int) -> bool:
             d = datetime.date.fromordinal(start + x)
-            if first == 2 and sep != "." and (d.day > 12) != (day_first or day > 12):
-                return False
-            return padded or len(f"{d.month}{d.day}") == len(f"{month}{day}") and len(str(d.day)) == len(str(day))
-
-        told_by = first == 2 and sep != "." and day > 12
-        tweak = f"date|{first}|{sep}|{day_first}|{padded}|{told_by}|{'' if padded else (len(str(month)), len(str(day)))}".encode()
-        new = datetime.date.fromordinal(start + self.feistel.permute(at.toordinal() - start, n, tweak, told))
-        m, d = (f"{new.month:02d}", f"{new.day:02d}") if padded else (str(new.month), str(new.day))
+            return (d.month < 10, d.day < 10, d.day > 12) == kind
+
+        new = datetime.date.fromordinal(start + self._permute(at.toordinal() - start, n, b"date", same))
+        x, y = (p for i, p in enumerate(parts) if i != first)
+        m, d = (y, x) if day_first else (x, y)
+        m, d = f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}"
         return sep.join([str(new.year), m, d] if first == 0 else [d, m, str(new.year)] if day_first else [m, d, str(new.year)])
 
     def _ssn(self, value: str) -> str | None:
@@ -197,18 +202,17 @@ class Pseudonyms:
         digits = "".join(c for c in value if c in DIGITS)
         if not 8 <= len(digits) <= 15:
             return None
-        code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-        keep = len(code.group()) - 1 if code else 1 if value[0] == "+" else 0
-        body = digits[keep:]
-        if not body:
-            return None
-        first = ["123456789" if c != "0" else "0" for c in body[:1]]
-        if len(body) == 10 and (not keep or digits[:keep] == "1"):  # North American plan: area and exchange begin with 2-9
-            alphabets = [("23456789" if c in "23456789" else "01") if i in (0, 3) else DIGITS for i, c in enumerate(body)]
+        keep = 0
+        if value[0] == "+":  # the country code has one, two or three digits, as numbering plans lay down
+            keep = 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+        elif len(digits) == 11 and digits[0] == "1":
+            keep = 1
+        code, body = digits[:keep], digits[keep:]
+        if len(body) == 10 and code in ("", "1"):  # North American plan: area and exchange begin with 2-9
+            code, alphabets = "1", [("23456789" if c in "23456789" else "01") if i in (0, 3) else DIGITS for i, c in enumerate(body)]
         else:
-            alphabets = first + [DIGITS] * (len(body) - 1)
-        layout = re.sub("[0-9]", "0", value)
-        return self._refill(value, digits[:keep] + self._spell("phone" + layout + digits[:keep], body, alphabets))
+            alphabets = ["123456789" if body[0] != "0" else "0"] + [DIGITS] * (len(body) - 1)
+        return self._refill(value, digits[:keep] + self._spell("phone" + code, body, alphabets))
 
     def _secret(self, value: str) -> str:
         lead = re.match(r"AKIA|gh[pousr]_", value)
@@ -234,7 +238,7 @@ class Pseudonyms:
         """(start, end, kind, pseudonym) of what validates; kinds named first win where they overlap."""
         if not self.NEEDS.search(text):
             return []
-        taken: list[tuple[int, int, str, str]] = []
+        taken: list[tuple[int, int, str, str]] = []  # disjoint, in order
         for kind, pattern in self.PATTERNS.items():
             if kind == "email" and "@" not in text:
                 continue
@@ -244,14 +248,16 @@ class Pseudonyms:
                 while m:  # what runs into a value found before, or doesn't validate, may do so without its last part
                     group = (m.lastgroup or 0) if kind == "secret" else 0
                     start, end = m.span(group)
-                    new = None if any(s < end and start < e for s, e, *_ in taken) else self.pseudonym(kind, text[start:end])
+                    k = bisect.bisect(taken, (start,))
+                    free = (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0])
+                    new = self.pseudonym(kind, text[start:end]) if free else None
                     if new is not None:
-                        taken.append((start, end, kind, new))
+                        taken.insert(k, (start, end, kind, new))
                         at = max(m.end(), start + 1)
                         break
                     limit = text.rfind(" ", m.start(), limit)
                     m = pattern.match(text, m.start(), limit) if limit > m.start() else None
-        return sorted(taken)
+        return taken
 
     def replace(self, text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
         found = self.find(text)
@@ -264,10 +270,10 @@ class Pseudonyms:
         return "".join(out) + text[at:], found
 
 
-def pseudonymised(docs: DataFrame, key: bytes, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str] = ("n_found", "kinds")) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str] = ("n_found", "kinds"), back: bool = False) -> DataFrame:
     """``keep`` columns (the text replaced in place), n_found and kinds (sorted, distinct, comma-separated) or other names.
 
-    One narrow pass without a shuffle. ``key`` is the secret on which all pseudonyms depend.
+    One narrow pass without a shuffle. ``key`` is the secret on which all pseudonyms depend. back: restores texts.
     """
     keep = keep or ["doc_id", text_col]
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep])
@@ -275,7 +281,7 @@ def pseudonymised(docs: DataFrame, key: bytes, keep: list[str] | None = None, te
     where = keep.index(text_col)
 
     def run(batches):
-        p = Pseudonyms(key)
+        p = Pseudonyms(key, back)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

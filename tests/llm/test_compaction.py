@@ -32,6 +32,17 @@ def test_arrivals_and_compaction(spark, store):
     assert store.vacuum() > 0 and rows(store.read()) == want and store.version() == version
 
 
+def test_row_groups_are_merged(spark, store):
+    import pyarrow.parquet as pq
+
+    for lo in range(0, 400, 20):
+        store.append(frame(spark, lo, lo + 20, 1), 10)
+    store.compact()
+    merged = [s for s in store.shards() if s.rows > 100]
+    assert merged and all(pq.read_metadata(f"{store.base}/data/{s.name}").num_row_groups <= 4 for s in merged)  # of 13 or more shards
+    assert rows(store.read()) == rows(frame(spark, 0, 400))
+
+
 def test_two_writers(spark, store):
     store.append(frame(spark, 0, 10))
     m = store.manifest()
