@@ -93,14 +93,15 @@ def sketch(u: np.ndarray) -> np.ndarray:
     """BANDS 64-bit words of four 16-bit registers each, of a sorted non-empty set of hashes."""
     at = np.concatenate(([0], np.searchsorted(u, _EDGES), [len(u)]))
     full = at[1:] > at[:-1]
-    least = u[np.minimum(at[:-1], len(u) - 1)] - _FIRST
+    first = u[np.minimum(at[:-1], len(u) - 1)]
+    least = first - _FIRST
     part, place = np.frexp(least.astype(np.float64) + 1.0)
     reg = (place.astype(np.uint64) << np.uint64(MANTISSA)) | ((part * 2 - 1) * (1 << MANTISSA)).astype(np.uint64)
-    if not full.all():  # an empty register takes the next full one's value, told apart by the distance
-        where = np.flatnonzero(full)
-        nxt = where[np.searchsorted(where, np.arange(REGISTERS)) % len(where)]
-        away = (nxt - np.arange(REGISTERS)) % REGISTERS
-        reg = (reg[nxt] + away.astype(np.uint64) * np.uint64(0x3A7)) & np.uint64(0xFFFF)
+    if not full.all():  # an empty register takes bits of the next full one's hash, others at every distance
+        where, empty = np.flatnonzero(full), np.flatnonzero(~full)
+        nxt = where[np.searchsorted(where, empty) % len(where)]
+        away = ((nxt - empty) % REGISTERS).astype(np.uint64)
+        reg[empty] = tx.mix(first[nxt] + away * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0xFFFF)
     return (reg.reshape(BANDS, ROWS) << _LANES).sum(axis=1, dtype=np.uint64)
 
 
