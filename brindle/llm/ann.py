@@ -8,14 +8,15 @@ Hamming radius r of the query's agrees with it to within r // PARTS in some subs
 near in each table retrieves every code within r; what is within r is then ranked by the inner product of the
 original vectors in double precision. The radius is the one that reached TARGET recall against brute force within
 the sample (whose neighbours are farther than those among all rows), and is widened for a query whose block holds
-fewer than k codes of other ids within it, so a query always gets min(k, candidates) results.
+fewer than k + 1 codes within it, so a query always gets min(k, candidates) results.
 
 Queries and rows meet block by block; each pair of blocks keeps k results a query, which one aggregation merges. No
 vector is compared outside its block's candidates. Sample, rotation and radius have fixed size.
 
 Defined results: null and zero vectors, those with null or non-finite components, of another dimension than the most
-frequent one, or with a null id take no part. Rows that repeat an id are candidates each; a row is not a candidate of
-a query of the same id. Equal query rows are asked once; a query id with several vectors gets k results for each. Ties go to the smaller id. Empty tables give no rows; further columns are ignored.
+frequent one, or with a null id take no part. Rows that repeat an id are candidates each; only the query's own row is
+none of its candidates. Equal query rows are asked once; a query id with several vectors gets k results for each. Ties
+go to the smaller id. Empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,6 +83,7 @@ def on_sphere(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def as_query(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # first, for squares neither to vanish nor to overflow
     return np.column_stack((x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))))
 
 
@@ -130,7 +132,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for the rows where is_query (over the id) holds."""
     fine = usable(vectors, id_col, vector_col)
-    n, longest = fine.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(v, 0D, (acc, x) -> acc + x * x))"))).first()
+    most = "array_max(transform(v, x -> abs(x)))"  # by it first, for squares neither to vanish nor to overflow
+    length = f"{most} * sqrt(aggregate(transform(v, x -> x / {most}), 0D, (acc, x) -> acc + x * x))"
+    n, longest = fine.agg(F.count("*"), F.max(F.expr(length))).first()
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("id").v.to_numpy()).astype(np.float64)
@@ -167,8 +171,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
             index, code = MultiIndex(codes.of(on_sphere(x, longest))), codes.of(as_query(q))
             for i in range(len(qids)):
-                found = index.search(code[i], codes.radius, k + max(1, np.count_nonzero(ids == qids[i])))
-                found = found[ids[found] != qids[i]]
+                found = index.search(code[i], codes.radius, k + 1)
+                own = np.flatnonzero(ids[found] == qids[i])
+                own = own[(x[found[own]] == q[i]).all(axis=1)]
+                found = np.delete(found, own[:1])  # rows of one id lie in one block
                 score = (x[found] * q[i]).sum(axis=1)
                 best = np.lexsort((ids[found], -score))[:k]
                 for c, v in zip(out, (np.full(len(best), qids[i]), np.full(len(best), keys[i]), ids[found][best], score[best]), strict=True):
