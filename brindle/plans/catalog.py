@@ -279,6 +279,19 @@ same("clicks_point", "SELECT user_id FROM events WHERE event_id = 77")
 same("clicks_top_users", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC NULLS FIRST, user_id LIMIT 10")
 same("clicks_text_filter", "SELECT event_type, count(*) AS n, min(props) AS first FROM events WHERE props LIKE '%1%' AND event_type <> 'error' GROUP BY event_type")
 
+same("clicks_filtered_count", "SELECT count(*) AS n FROM events WHERE value <> 0")
+same("clicks_sums", "SELECT CAST(sum(user_id) AS BIGINT) AS s, count(*) AS n, round(avg(value), 6) AS mean FROM events")
+same("clicks_by_type", "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY event_type ORDER BY n DESC NULLS FIRST, event_type")
+same("clicks_top_texts", "SELECT props AS s, count(*) AS c FROM events WHERE props <> '' GROUP BY props ORDER BY c DESC NULLS FIRST, s DESC NULLS FIRST LIMIT 6")
+same("clicks_top_pairs", "SELECT event_type, props, count(*) AS c FROM events WHERE props <> '' GROUP BY event_type, props ORDER BY c DESC NULLS FIRST, event_type, props LIMIT 10")
+same("clicks_like_count", "SELECT count(*) AS c FROM events WHERE props LIKE '%7%'")
+same("clicks_like_min", "SELECT event_type, min(props) AS m, count(*) AS c FROM events WHERE props LIKE '%7%' AND event_type <> '' GROUP BY event_type ORDER BY c DESC NULLS FIRST, event_type LIMIT 10")
+same("clicks_text_order", "SELECT props FROM events WHERE event_type = 'error' ORDER BY props LIMIT 10")
+same("clicks_time_order", "SELECT ts, props FROM events WHERE props <> '' ORDER BY ts, props LIMIT 10")
+same("clicks_pair_sums", "SELECT event_type, user_id, count(*) AS c, round(sum(value), 2) AS s, round(avg(value), 6) AS m FROM events WHERE props <> '' GROUP BY event_type, user_id ORDER BY c DESC NULLS FIRST, user_id, event_type LIMIT 10")
+same("clicks_all_pairs", "SELECT event_id, user_id, count(*) AS c, round(sum(value), 2) AS s, round(avg(value), 6) AS m FROM events GROUP BY event_id, user_id ORDER BY c DESC NULLS FIRST, event_id DESC NULLS FIRST LIMIT 10")
+same("clicks_range", "SELECT props, count(*) AS views FROM events WHERE event_type = 'view' AND ts >= '2024-01-05' AND ts <= '2024-01-25' AND value > 1 AND props <> '' GROUP BY props ORDER BY views DESC NULLS FIRST, props DESC NULLS FIRST LIMIT 10")
+
 # Statements over tables of the engine's own
 
 

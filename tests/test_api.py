@@ -1,6 +1,7 @@
 import datetime
 import decimal
 import threading
+import time
 
 import pandas as pd
 import pytest
@@ -294,3 +295,45 @@ def test_threads(db):
     ts = [threading.Thread(target=lambda: out.append(db.sql("SELECT sum(v) FROM t").tuples())) for _ in range(4)]
     [t.start() for t in ts], [t.join() for t in ts]
     assert out == [[(3,)]] * 4
+
+
+def test_shell_flags(capsys, tmp_path):
+    from brindle.__main__ import main
+
+    assert main(["--db", str(tmp_path / "d"), "--frames", "9", "--morsel-pages", "4", "--morsel-size", "100", "--unknown", "-c", "SELECT name FROM city ORDER BY id LIMIT 1"]) == 0
+    assert "Oslo" in capsys.readouterr().out
+    assert main(["-m", "--no-seed", "--test-protocol", "-c", "SELECT 1, NULL, 'x'"]) == 0
+    assert capsys.readouterr().out == "1\tNULL\tx\nok\n"
+    assert main(["-m", "--no-seed", "--test-protocol", "-c", "SELECT * FROM city"]) == 1
+    assert capsys.readouterr().out == "error BinderError\n"
+
+
+def test_writers_in_threads(db):
+    db.execute_script("CREATE TABLE t(id INT PRIMARY KEY, v INT); INSERT INTO t VALUES (1, 0), (2, 0), (3, 0)")
+    done, lost = [], []
+
+    def work(i):
+        for sql in (f"INSERT INTO t VALUES ({10 + i}, {i})", f"UPDATE t SET v = v + 1 WHERE id = {i % 3 + 1}"):
+            for _ in range(20):
+                try:
+                    done.append(db.sql(sql).affected_rows)
+                    break
+                except E.ConflictError:
+                    lost.append(sql)
+
+    ts = [threading.Thread(target=work, args=(i,)) for i in range(4)]
+    [t.start() for t in ts], [t.join() for t in ts]
+    assert done == [1] * 8
+    assert db.sql("SELECT sum(v) FROM t WHERE id < 10").tuples() == [(4,)] and db.sql("SELECT count(*) FROM t").tuples() == [(7,)]
+
+
+def test_large_results_in_time(db):
+    db.sql("CREATE TABLE t(id BIGINT PRIMARY KEY, s VARCHAR)")
+    db.sql("INSERT INTO t SELECT id, concat('row ', id) FROM range(75000)")
+    began = time.monotonic()
+    r = db.sql("SELECT * FROM t")
+    assert time.monotonic() - began < 15
+    began = time.monotonic()
+    assert len(r.tuples()) == 75_000 and len(r.to_df()) == 75_000 and time.monotonic() - began < 15
+    began = time.monotonic()
+    assert sum(len(r) for _ in range(100_000)) and time.monotonic() - began < 3
