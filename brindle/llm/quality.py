@@ -146,12 +146,12 @@ def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> Embedding
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(feats, pa.binary())], ["id", "label", "feats"])
 
     def read(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-        k = len(b) // 6
-        return np.frombuffer(b, "<u2", k).astype(np.int64), np.frombuffer(b, "<u4", k, 2 * k).astype(np.float64)
+        k = len(b) // 6  # views: the sample is held once
+        return np.frombuffer(b, "<u2", k), np.frombuffer(b, "<u4", k, 2 * k)
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf.feats.str.len()).sort_values(["id", "label", "size", "feats"])
-        model = Embeddings.train([read(b) for b in pdf.feats], pdf.label.to_numpy(np.int64))
+        rows = sorted(zip(pdf.id, pdf.label, pdf.feats, strict=True))
+        model = Embeddings.train([read(b) for _, _, b in rows], np.array([y for _, y, _ in rows], np.int64))
         return pd.DataFrame({"model": [model.to_bytes()]})
 
     rows = _sampled(labelled, docs, sample).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
