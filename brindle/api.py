@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import fcntl
 import json
 import os
 import shutil
@@ -26,6 +27,7 @@ from brindle.sources.frames import to_spark
 from brindle.tables.base import TableDef, assigned, fit, from_files
 from brindle.tables.external import ExternalTable
 from brindle.tables.managed import RID, Delta, ManagedTable
+from brindle.tables.manifest import ManifestLog
 
 MODES = ("binder", "planner", "optimizer", "schema", "physical", "pipelines", "analyze")
 
@@ -37,7 +39,7 @@ class Transaction:
         if isolation not in ("snapshot", "serializable"):
             raise ProgrammingError(f"unknown isolation {isolation!r}")
         self.database, self.isolation, self.explicit, self.began = database, isolation, explicit, time.monotonic()
-        with database.lock:
+        with database.exclusive(fcntl.LOCK_SH):
             self.pinned = {n: database.latest(n) for n, t in database.tables.items()}
             database.active.add(self)
         self.deltas: dict[str, Delta] = {}
@@ -523,24 +525,54 @@ class Database:
                 base = base.join(mine, RID, "left_anti")
             self.check_keys(table, delta, base)
 
+    @contextlib.contextmanager
+    def exclusive(self, how: int = fcntl.LOCK_EX):
+        """Alone among this process's threads and, by a lock on a file, among processes; with LOCK_SH, next to others
+        that only look. What a process that died had decided to commit is there first."""
+        with self.lock, open(f"{self.path}/.lock", "w") as f:
+            fcntl.flock(f, how)
+            if any(n.startswith("commit-") for n in os.listdir(self.path)):
+                fcntl.flock(f, fcntl.LOCK_EX)
+                for n in sorted(n for n in os.listdir(self.path) if n.startswith("commit-")):
+                    self._put(f"{self.path}/{n}")
+            yield
+
+    def _put(self, decided: str) -> None:
+        """Puts the versions in place that a file names and removes it; those that are there already stay."""
+        with open(decided) as f:
+            for location, version, content in json.load(f):
+                log = ManifestLog(location)
+                if os.path.isdir(location) and log.latest() < version:
+                    log.commit(version, content)
+        os.unlink(decided)
+
     def commit(self, txn: Transaction, spark: SparkSession) -> None:
-        """All of a transaction's deltas, or none: everything is checked before the first version is put in place."""
+        """All of a transaction's deltas, or none: everything is checked and written before one file, put in place by a
+        rename, decides. Versions are put in place from that file, after a crash by the next who looks."""
         changed = {k: d for k, d in txn.deltas.items() if d.touched or d.rows}
         if not changed:
             return
-        with self.lock:
+        with self.exclusive():
             for k, d in changed.items():
                 if k not in self.tables:
                     raise ConflictError(f"table {k} was dropped")
                 self.check_writes(txn, ManagedTable(spark, self.tables[k]), d)
             if txn.isolation == "serializable":
                 self._validate(txn, spark)
+            ready = []
             for k, d in changed.items():
                 managed = ManagedTable(spark, self.tables[k])
                 latest = managed.manifest()
                 if self.tables[k].auto_id and latest["next"] > managed.manifest(d.version)["next"] and d.rows:
                     self._renumber(managed, d, latest["next"])
-                managed.commit(d)
+                ready.append((managed.table.location, *managed.prepared(d)))
+            temp = f"{self.path}/.{uuid.uuid4().hex}"
+            with open(temp, "w") as f:
+                json.dump(ready, f)
+                f.flush()
+                os.fsync(f.fileno())
+            os.rename(temp, decided := f"{self.path}/commit-{uuid.uuid4().hex}")
+            self._put(decided)
 
     def _renumber(self, table: ManagedTable, delta: Delta, start: int) -> None:
         """Moves generated keys of a delta behind those that others committed meanwhile; updated rows keep theirs."""

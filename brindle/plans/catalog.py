@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.errors import NotSupportedError
 from brindle.functions import scalar
 from brindle.operators import relational as R
 from brindle.sources import tables as S
@@ -50,11 +53,23 @@ def same(name: str, text: str, oracle: str | None = None) -> None:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for tables that a query makes: in the cluster's shared folder, where one is named."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared and shared.startswith("file:"):
-        shared = "/" + shared[5:].lstrip("/")
-    return tempfile.mkdtemp(prefix="brindle-", dir=shared if shared and "://" not in shared else None)
+    """A new folder for what a query writes: in the cluster's shared folder, where one is named, whatever file system
+    that is on; else a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return tempfile.mkdtemp(prefix="brindle-")
+    return f"{shared.rstrip('/')}/brindle-{uuid.uuid4().hex}"
+
+
+def table_folder(spark: SparkSession) -> str:
+    """The same for tables of the engine's own, which take a folder that is mounted (local or NFS) for their manifests."""
+    folder = work_folder(spark)
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    if "://" in folder:
+        raise NotSupportedError(f"tables take a mounted folder, not {folder}")
+    os.makedirs(folder, exist_ok=True)
+    return folder
 
 
 # Scans, projections, predicates
@@ -298,7 +313,7 @@ same("clicks_range", "SELECT props, count(*) AS views FROM events WHERE event_ty
 def _database(spark: SparkSession):
     from brindle.api import Database
 
-    return Database(work_folder(spark), spark=spark)
+    return Database(table_folder(spark), spark=spark)
 
 
 @query("dml_managed", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS n_name, CASE WHEN n_regionkey = 1 THEN 1 - n_regionkey ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_nationkey NOT IN (3, 4, 5) UNION ALL SELECT 100, 'NEW', NULL")
@@ -315,7 +330,7 @@ def dml_managed(spark, d):
 @query("dml_external", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) THEN 9999 ELSE s_nationkey END AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT s_suppkey + 100000, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey < 5 AND s_acctbal >= 0")
 def dml_external(spark, d):
     db = _database(spark)
-    folder = work_folder(spark)
+    folder = table_folder(spark)
     load(spark, d, "supplier").write.mode("overwrite").parquet(folder + "/data")
     db.load_df(load(spark, d, "customer").filter("c_acctbal > 5000").select("c_custkey"), "rich", primary_key="c_custkey")
     c = db.connect()
@@ -425,7 +440,7 @@ def vacuum_external(spark, d):
 
     from brindle.tables.external import ExternalTable
 
-    db, folder = _loaded(spark, d, "region"), work_folder(spark) + "/data"
+    db, folder = _loaded(spark, d, "region"), table_folder(spark) + "/data"
     load(spark, d, "nation").coalesce(1).write.parquet(folder)
     db.sql(f"CREATE TABLE nation WITH (format='parquet', location='{folder}')")
     live = lambda: len(ExternalTable(spark, db.tables["nation"]).files())

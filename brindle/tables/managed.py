@@ -47,28 +47,24 @@ class ManagedTable:
         """Rids that a version's commit touched."""
         return from_files(self.spark, _RIDS, self.manifest(version)["changes"])
 
-    def commit(self, delta: Delta) -> int:
-        """Puts a delta onto the newest version; ConflictError if a later commit touched one of its rows."""
-        while True:
-            latest = self.log.latest()
-            self.check(delta, latest)
-            m = self.manifest(latest)
-            files, touched = m["files"], delta.touched_frame(self)
-            if delta.touched and files:
-                low, high = touched.agg(F.min(RID), F.max(RID)).first()
-                near = with_file(from_files(self.spark, self.schema, files)).filter(F.col(RID).between(low, high))  # by row group statistics
-                hit = touched_files(near.join(touched, RID, "left_semi"))
-                if hit:
-                    rest = from_files(self.spark, self.schema, hit).join(touched, RID, "left_anti")
-                    files = [f for f in files if f not in hit] + write_files(rest, self.table.location)
-            small = [f for f in files if os.path.getsize(f) < SMALL]
-            if len(small) >= MANY:
-                files = [f for f in files if f not in small] + write_files(from_files(self.spark, self.schema, small).coalesce(1), self.table.location)
-            try:
-                self.log.commit(latest + 1, {"files": files + delta.rows, "changes": delta.touched, "next": max(m["next"], delta.next)})
-                return latest + 1
-            except ConflictError:
-                continue  # another table writer was quicker: onto the newer version
+    def prepared(self, delta: Delta) -> tuple[int, dict]:
+        """The version and the manifest that put a delta onto the newest version, with all their files written;
+        ConflictError if a later commit touched one of its rows."""
+        latest = self.log.latest()
+        self.check(delta, latest)
+        m = self.manifest(latest)
+        files, touched = m["files"], delta.touched_frame(self)
+        if delta.touched and files:
+            low, high = touched.agg(F.min(RID), F.max(RID)).first()
+            near = with_file(from_files(self.spark, self.schema, files)).filter(F.col(RID).between(low, high))  # by row group statistics
+            hit = touched_files(near.join(touched, RID, "left_semi"))
+            if hit:
+                rest = from_files(self.spark, self.schema, hit).join(touched, RID, "left_anti")
+                files = [f for f in files if f not in hit] + write_files(rest, self.table.location)
+        small = [f for f in files if os.path.getsize(f) < SMALL]
+        if len(small) >= MANY:
+            files = [f for f in files if f not in small] + write_files(from_files(self.spark, self.schema, small).coalesce(1), self.table.location)
+        return latest + 1, {"files": files + delta.rows, "changes": delta.touched, "next": max(m["next"], delta.next)}
 
     def check(self, delta: Delta, latest: int) -> None:
         """ConflictError if a version after the delta's touched what it touched."""

@@ -337,3 +337,39 @@ def test_large_results_in_time(db):
     assert len(r.tuples()) == 75_000 and len(r.to_df()) == 75_000 and time.monotonic() - began < 15
     began = time.monotonic()
     assert sum(len(r) for _ in range(100_000)) and time.monotonic() - began < 3
+
+
+def test_commits_over_several_tables_survive_a_crash(spark, tmp_path, monkeypatch):
+    from brindle.tables.manifest import ManifestLog
+
+    with Database(tmp_path / "d", spark=spark) as d:
+        d.execute_script("CREATE TABLE a(id INT PRIMARY KEY); CREATE TABLE b(id INT PRIMARY KEY); INSERT INTO a VALUES (1); INSERT INTO b VALUES (1)")
+        c, real, puts = d.connect(), ManifestLog.commit, []
+
+        def dies(log, version, content):
+            puts.append(version)
+            if len(puts) == 2:
+                raise OSError("gone")
+            real(log, version, content)
+
+        c.begin()
+        c.execute_script("INSERT INTO a VALUES (2); INSERT INTO b VALUES (2)")
+        monkeypatch.setattr(ManifestLog, "commit", dies)
+        with pytest.raises(OSError):
+            c.commit()
+        monkeypatch.undo()
+    with Database(tmp_path / "d", spark=spark) as d:
+        assert rows(d.sql("SELECT a.id FROM a, b WHERE a.id = b.id")) == [(1,), (2,)]
+
+
+def test_two_databases_on_one_folder(spark, tmp_path):
+    with Database(tmp_path / "d", spark=spark) as one:
+        one.execute_script("CREATE TABLE t(id INT PRIMARY KEY); INSERT INTO t VALUES (1)")
+        with Database(tmp_path / "d", spark=spark) as two:
+            a, b = one.connect(), two.connect()
+            a.begin(), b.begin()
+            a.sql("INSERT INTO t VALUES (2)"), b.sql("INSERT INTO t VALUES (2)")
+            a.commit()
+            with pytest.raises(E.ConflictError):
+                b.commit()
+            assert two.sql("SELECT count(*) FROM t").tuples() == [(2,)]
