@@ -128,18 +128,24 @@ def sketches(docs: DataFrame, at: int, k: int) -> DataFrame:
     return docs.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, T.StructType([*docs.schema.fields, *_SKETCH]))
 
 
-def _spread(pairs: DataFrame, key: str, side: DataFrame) -> DataFrame:
-    """pairs joined with side (which has each key once). Keys of many pairs, if there are any, are salted: their row of
-    side is repeated, their pairs are spread over the copies."""
-    copies = F.expr(f"int(ceil(count / {MEETS}D))").alias("copies")
-    hot = shared.written(pairs.groupBy(key).count().filter(F.col("count") > MEETS).select(key, copies), "hot")
-    n = hot.count()
-    if n == 0:
-        return pairs.join(side, key)
-    hot = F.broadcast(hot) if n <= BROADCAST else hot
-    salted = pairs.join(hot, key, "left").withColumn("salt", F.expr("CASE WHEN copies IS NULL THEN 0 ELSE pmod(xxhash64(a, b), copies) END").cast("int")).drop("copies")
-    many = side.join(hot, key, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
-    return salted.join(many, [key, "salt"]).drop("salt")
+def _spread(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """Pairs (a, b), a written table, joined with ``one`` (which has each a once) and ``two`` (each b). Keys of many
+    pairs, if there are any, are salted: their row of one or two is repeated, their pairs are spread over the copies."""
+    if pairs.count() <= MEETS:
+        return pairs.join(one, "a").join(two, "b")
+    each = pairs.select(F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("key")) for x in "ab"])).alias("x")).select("x.*")
+    hot = shared.written(each.groupBy("side", "key").count().filter(F.col("count") > MEETS), "hot")
+    many = {r.side: r["count"] for r in hot.groupBy("side").count().collect()}
+    for key, side in (("a", one), ("b", two)):
+        if key not in many:
+            pairs = pairs.join(side, key)
+            continue
+        copies = hot.filter(F.col("side") == key).select(F.col("key").alias(key), F.expr(f"int(ceil(count / {MEETS}D))").alias("copies"))
+        copies = F.broadcast(copies) if many[key] <= BROADCAST else copies
+        salt = F.expr("CASE WHEN copies IS NULL THEN 0 ELSE pmod(xxhash64(a, b), copies) END").cast("int")
+        side = side.join(copies, key, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(copies, 1) - 1)"))).drop("copies")
+        pairs = pairs.join(copies, key, "left").withColumn("salt", salt).drop("copies").join(side, [key, "salt"]).drop("salt")
+    return pairs
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -151,7 +157,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     same = F.expr(f"aggregate(zip_with(ra, rb, (x, y) -> x ^ y), 0, (acc, z) -> acc + {lanes})")
     chance = F.expr(f"0.72D / {1 << MANTISSA} * na * nb / ((na + nb) * (na + nb))")
     return (
-        _spread(_spread(pairs, "a", one), "b", two)
+        _spread(pairs, one, two)
         .filter(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
         .withColumn("chance", chance)
         .withColumn("estimate", (same / F.lit(REGISTERS) - F.col("chance")) / (1 - F.col("chance")))
@@ -172,7 +178,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
     one = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
-    return _spread(_spread(pairs, "a", one), "b", two).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return _spread(pairs, one, two).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _tokens(texts: DataFrame, k: int) -> DataFrame:
@@ -228,19 +234,24 @@ def _linked(docs: DataFrame, at: int, k: int, percent: int) -> tuple[DataFrame,
     tried = shared.written(members.filter("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "tried")
     roots = connected(links(tried))
 
+    def named(roots: DataFrame) -> DataFrame:
+        placed = classes.select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+        return placed.select("hi", "lo", F.coalesce("root", "rep").alias("root"))
+
     # the rest: members of a bucket whom the comparison with the smallest did not bring together
     placed = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
     apart = placed.join(split, "bucket").select("rep", "root").distinct()
     apart = shared.written(apart, "apart")
+    if apart.isEmpty():
+        return sk, named(roots)
     tokens = _tokens(texts.join(apart.select(F.col("rep").alias("uid")), "uid", "left_semi"), k)
     pairs = _sharing(shared.written(tokens, "tokens"), percent).join(tried, ["a", "b"], "left_anti")
     pairs = pairs.join(apart.select(F.col("rep").alias("a"), F.col("root").alias("x")), "a").join(apart.select(F.col("rep").alias("b"), F.col("root").alias("y")), "b")
-    more = links(pairs.filter("x <> y").select("a", "b"))
+    more = links(shared.written(pairs.filter("x <> y").select("a", "b"), "pairs"))
     if not more.isEmpty():
         roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    named = classes.select("hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return sk, named.select("hi", "lo", F.coalesce("root", "rep").alias("root"))
+    return sk, named(roots)
 
 
 def _columns(docs: DataFrame) -> DataFrame:
