@@ -113,10 +113,6 @@ class BytePairs:
         triples = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         cols = np.array(triples, np.uint32).reshape(-1, 3)
         self.pairs = PairTable(cols[:, 0], cols[:, 1], cols[:, 2])
-        #: Tokens of which a pair has their own rank or one below.
-        self.falling = np.zeros(n, bool)
-        for part in (cols[:, 0], cols[:, 1]):
-            self.falling[part[cols[:, 2] <= part]] = True
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -155,19 +151,25 @@ class BytePairs:
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges for one long piece: a row of its own, whose pairs of minimum rank are merged in one round.
 
-        A merge makes no pair of its own rank or below unless its token is one of ``falling``, so the row's next rounds
-        would merge just these; of those a round merges the leftmost alone.
+        The row's next rounds would merge just these, from the left, unless a merge makes a pair of its rank or below;
+        the round ends with the first that does.
         """
         ids = self.single[np.frombuffer(piece, np.uint8)]
         ranks = self.pairs.find(ids[:-1], ids[1:])
         while len(ranks) and (least := ranks.min()) != _NONE:
             at = np.flatnonzero(ranks == least)
-            if self.falling[least]:
-                at = at[:1]
-            elif len(at) > 1:  # of pairs that overlap every other one, from the left
+            if len(at) > 1:  # of pairs that overlap every other one, from the left
                 each = np.arange(len(at))
                 run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, each, 0))
                 at = at[(each - run) % 2 == 0]
+                # the pairs that each merge makes: what is left of it is merged by then, what is right of it isn't
+                before = np.where(np.diff(at, prepend=-3) == 2, least, ids[at - 1])
+                new = self.pairs.find(before, np.full(len(at), least))
+                new[at == 0] = _NONE
+                after = self.pairs.find(np.full(len(at), least), ids[np.minimum(at + 2, len(ids) - 1)])
+                after[at + 2 >= len(ids)] = _NONE
+                early = np.flatnonzero(np.minimum(new, after) <= least)
+                at = at[: early[0] + 1] if len(early) else at
             ids[at] = least
             stays = np.ones(len(ids), bool)
             stays[at + 1] = False

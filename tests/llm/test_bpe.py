@@ -53,6 +53,16 @@ def test_long_pieces_either_way(ours, theirs, text):
     assert m[0, : n[0]].tolist() == theirs._core_bpe.encode_single_piece(raw)
 
 
+@pytest.mark.parametrize("text", ["a" * 20_001, "ab" * 10_000, "abc" * 7000, "the" * 5000, "é" * 9000])
+def test_repetitive_pieces_take_few_rounds(ours, theirs, text):
+    import time
+
+    began = time.process_time()
+    got = ours.merge_long(text.encode()).tolist()
+    assert time.process_time() - began < 5
+    assert got == theirs._core_bpe.encode_single_piece(text.encode())
+
+
 def test_every_character_splits_alike(ours, theirs):
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     bad = [c for c in chars if c.isprintable() is False or c.isspace()]
