@@ -126,7 +126,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"), min_bytes=0)
 
 
-@query("op9_repeats")
+@query(
+    "op9_repeats",
+    """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+    z AS (SELECT doc_id, n, c, substr(h, CAST(2 * c + 1 AS BIGINT), 1398) AS h FROM (SELECT doc_id, n, h, unnest(range(0, n - 199, 500)) AS c FROM t WHERE n >= 200)),
+    p AS (SELECT doc_id, c + q AS p, md5_number(substr(h, CAST(2 * q + 1 AS BIGINT), 400)) AS s FROM (SELECT doc_id, c, h, unnest(range(least(500, n - 199 - c))) AS q FROM z)),
+    r AS (SELECT doc_id, p FROM p JOIN (SELECT s FROM p GROUP BY s HAVING count(*) > 1) USING (s)),
+    g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 200 THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+    i AS (SELECT doc_id, k, min(p) AS a, max(p) + 200 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g) GROUP BY doc_id, k),
+    c AS (SELECT doc_id, b AS x, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM i UNION ALL SELECT doc_id, 0, min(a) FROM i GROUP BY doc_id),
+    kept AS (SELECT c.doc_id, string_agg(substr(h, CAST(2 * x + 1 AS BIGINT), CAST(2 * (coalesce(y, n) - x) AS BIGINT)), '' ORDER BY x) AS k FROM c JOIN t USING (doc_id) GROUP BY c.doc_id),
+    s AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM i GROUP BY doc_id)
+    SELECT t.doc_id, t.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, CASE WHEN s.doc_id IS NULL THEN h ELSE '' END))) AS kept_sha256 FROM t LEFT JOIN s USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+)
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents without the bytes of 200-byte strings that occur more than once."""
     from brindle.llm import repeats
