@@ -25,7 +25,7 @@ def division_types(spark: SparkSession, text: str) -> dict[int, tuple[str, str]]
                 found[int(head[len(dialect.MARK) :])] = (a.dataType().simpleString(), b.dataType().simpleString())
         for child in _each(e.children()):
             expression(child)
-        if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
             plan(e.plan())
 
     def plan(p) -> None:
@@ -33,9 +33,6 @@ def division_types(spark: SparkSession, text: str) -> dict[int, tuple[str, str]]
             expression(e)
         for child in _each(p.children()):
             plan(child)
-        for inner in _each(p.innerChildren()):  # CTE definitions
-            if "LogicalPlan" in str(inner.getClass().getSuperclass()) or hasattr(inner, "expressions"):
-                plan(inner)
 
     plan(spark.sql(text)._jdf.queryExecution().analyzed())
     return found
