@@ -132,8 +132,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for the rows where is_query (over the id) holds."""
     fine = usable(vectors, id_col, vector_col)
-    most = "array_max(transform(v, x -> abs(x)))"  # by it first, for squares neither to vanish nor to overflow
-    length = f"{most} * sqrt(aggregate(transform(v, x -> x / {most}), 0D, (acc, x) -> acc + x * x))"
+    # by the largest component first, bound once, for squares neither to vanish nor to overflow
+    length = "transform(array(array_max(transform(v, x -> abs(x)))), m -> m * sqrt(aggregate(v, 0D, (acc, x) -> acc + (x / m) * (x / m))))[0]"
     n, longest = fine.agg(F.count("*"), F.max(F.expr(length))).first()
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
