@@ -2,8 +2,10 @@ import base64
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from brindle.llm import warc
@@ -90,3 +92,24 @@ def test_plain_gzip_tools_read_it():
     text = zlib.decompress(m, 31)
     assert text.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and text.endswith(b"hello\r\n\r\n")
     assert hashlib.sha1(b"hello").digest()
+
+
+def test_pages_of_a_batch_are_made_one_at_a_time():
+    html = ["é" * 500_000 + "\U0001f600", None] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["u"] * 60), pa.array(html), pa.nulls(60, pa.int64())], ["page_id", "url", "html", "refers_to"])
+    tracemalloc.start()
+    got = [(i, u, len(h), h[-4:], r) for i, u, h, r in warc._pages(batch)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(i, "u", 0 if i % 2 else 1_000_004, b"" if i % 2 else "\U0001f600".encode(), None) for i in range(60)]
+    assert peak < 4_000_000
+
+
+def test_payloads_stay_in_the_workers_where_nobody_wants_them(spark, tmp_path):
+    rows = [(i, "u", "é" * i) for i in range(40)] + [(50, None, "é" * 7), (51, "u", None)]
+    files = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), warc.uri(str(tmp_path / "w")))
+    whole, narrow = warc.read_archives(spark, files, 300), warc.read_archives(spark, files, 300, with_payload=False)
+    assert narrow.columns == whole.columns[:-1]
+    assert sorted(map(tuple, narrow.collect()), key=str) == sorted((tuple(r)[:-1] for r in whole.collect()), key=str)
+    assert all(r.digest_ok for r in narrow.filter("warc_type = 'response'").collect())
+    assert "payload#" not in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))._jdf.queryExecution().analyzed().toString()
