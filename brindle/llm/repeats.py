@@ -26,9 +26,11 @@ gives no rows. Further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
@@ -181,14 +183,27 @@ def _placed(docs: DataFrame) -> DataFrame:
         return docs.select("doc_id", "text", F.xxhash64("_metadata.file_path").alias("fid"), F.col("_metadata.row_index").alias("row"))
 
 
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """The place of the first and the texts as bytes, null as empty, of groups of rows up to tx.PIECE bytes in all; made
+    a group at a time, since a batch holds many times that. A longer text comes alone."""
+    at = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > at and total + n > tx.PIECE:
+            yield at, tx.raw(column.slice(at, i - at))
+            at, total = i, 0
+        total += n + 1
+    if at < len(column):
+        yield at, tx.raw(column.slice(at))
+
+
 def _fingerprints(placed: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             fids, rows = (c.to_numpy() for c in batch.columns[1:])
-            texts = tx.raw(batch.column(0))
-            for lo, hi in tx.groups(texts):
+            for lo, texts in _texts(batch.column(0)):
+                hi = lo + len(texts)
                 n, pos, fp, ctx, size = [], [], [], [], []
-                for t in texts[lo:hi]:
+                for t in texts:
                     buf = np.frombuffer(t, np.uint8)
                     p, h = chosen(buf, length, gram)
                     n.append(len(p))
@@ -208,6 +223,7 @@ def _contexts(placed: DataFrame, noted: str, length: int, gram: int) -> DataFram
         notes = Notes(noted, ["row", "pos", "n", "fp", "d"])
         for batch in batches:
             fids, rows = (c.to_numpy() for c in batch.columns[1:])
+            texts = batch.column(0).cast(pa.binary())
             for fid in dict.fromkeys(fids.tolist()):
                 at = np.flatnonzero(fids == fid)
                 got = notes.read(fid, int(rows[at].min()), int(rows[at].max()))
@@ -215,15 +231,15 @@ def _contexts(placed: DataFrame, noted: str, length: int, gram: int) -> DataFram
                 end = np.searchsorted(got["row"], rows[at], "right")
                 out, held = [], 0
                 for i in np.flatnonzero(end > begin):
-                    t = batch.column(0)[int(at[i])].as_py().encode()
+                    t = texts[int(at[i])].as_py()
                     for k in range(begin[i], end[i]):
                         p = got["pos"][k]
                         s, e = context(p, len(t), length, gram)
                         out.append((int(got["fp"][k]), int(got["d"][k]), bool(got["n"][k] > 1), fid, int(rows[at[i]]), int(p), int(s), t[s:e]))
                         held += e - s
-                    if held > tx.PIECE:
-                        yield _batch(out)
-                        out, held = [], 0
+                        if held > tx.PIECE:  # within a text too: a long one has contexts of many times its size
+                            yield _batch(out)
+                            out, held = [], 0
                 if out:
                     yield _batch(out)
 
@@ -332,8 +348,6 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
         notes = Notes(noted, ["row", "start", "stop"])
         for batch in batches:
             fids, rows = (c.to_numpy() for c in batch.columns[2:])
-            cols = [[], [], [], [], []]
-            texts = tx.raw(batch.column(1))
             spans: dict[int, tuple] = {}
             for fid in dict.fromkeys(fids.tolist()):
                 at = np.flatnonzero(fids == fid)
@@ -341,20 +355,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
                 begin, end = np.searchsorted(got["row"], rows[at]), np.searchsorted(got["row"], rows[at], "right")
                 for i in np.flatnonzero(end > begin):
                     spans[int(at[i])] = merged(got["start"][begin[i] : end[i]], got["stop"][begin[i] : end[i]])
-            for i, t in enumerate(texts):
-                kept, removed = [], 0
-                s, e = spans.get(i, ((), ()))
-                last = 0
-                for a, b in zip(s, e, strict=True):
-                    kept.append(t[last:a])
-                    removed, last = removed + int(b - a), b
-                kept.append(t[last:])
-                whole = b"".join(kept)
-                for c, v in zip(cols, (len(t), removed, len(s), hashlib.sha256(whole).hexdigest(), whole if with_text else None), strict=True):
-                    c.append(v)
-            arrays = [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names[: 5 + with_text])
+            for lo, texts in _texts(batch.column(1)):
+                cols = [[], [], [], [], []]
+                for i, t in enumerate(texts, lo):
+                    kept, removed = [], 0
+                    s, e = spans.get(i, ((), ()))
+                    last = 0
+                    for a, b in zip(s, e, strict=True):
+                        kept.append(t[last:a])
+                        removed, last = removed + int(b - a), b
+                    kept.append(t[last:])
+                    whole = b"".join(kept)
+                    for c, v in zip(cols, (len(t), removed, len(s), hashlib.sha256(whole).hexdigest(), whole if with_text else None), strict=True):
+                        c.append(v)
+                arrays = [batch.column(0).slice(lo, len(texts)), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                yield pa.RecordBatch.from_arrays(arrays[: 5 + with_text], names[: 5 + with_text])
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return placed.select("doc_id", "text", "fid", "row").mapInArrow(run, schema)

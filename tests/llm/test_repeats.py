@@ -1,7 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from brindle.llm import repeats
@@ -94,3 +97,37 @@ def test_equal_strings_choose_equal_windows(monkeypatch, piece):
         one = {(p - 33 - off, h) for p, h in zip(pa_.tolist(), ha.tolist(), strict=True) if 0 <= p - 33 - off <= 32}
         two = {(p - 70 - off, h) for p, h in zip(pb.tolist(), hb.tolist(), strict=True) if 0 <= p - 70 - off <= 32}
         assert one & two
+
+
+class Direct:
+    """Stands for a DataFrame: mapInArrow gives the function itself."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_texts_of_a_batch_are_made_a_group_at_a_time():
+    column = pa.array([None, "é" * 150_000, "", "x" * 2_000_000, "y" * 300_000] * 12).slice(1)
+    tracemalloc.start()
+    got = [(lo + i, len(t), hashlib.sha256(t).digest()) for lo, texts in repeats._texts(column) for i, t in enumerate(texts)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(i, len(t), hashlib.sha256(t).digest()) for i, t in enumerate((x or "").encode() for x in column.to_pylist())]
+    assert peak < 5_000_000
+    assert list(repeats._texts(column.slice(0, 0))) == []
+
+
+def test_contexts_of_a_long_text_come_in_several_batches(tmp_path):
+    text = "".join(random.Random(6).choices("abcdé", k=300_000))
+    raw = text.encode()
+    pos = np.arange(0, len(raw) - 32, 40)
+    (tmp_path / "fid=7").mkdir()
+    pq.write_table(pa.table({"row": np.full(len(pos), 1), "pos": pos, "n": np.ones(len(pos), np.int64), "fp": pos * 3, "d": np.full(len(pos), 2)}), tmp_path / "fid=7/a.parquet")
+    batch = pa.RecordBatch.from_arrays([pa.array([None, text]), pa.array([7, 7]), pa.array([0, 1])], ["text", "fid", "row"])
+    got = list(repeats._contexts(Direct(), f"file://{tmp_path}", 200, 32)([batch]))
+    assert len(got) > 1 and all(sum(map(len, b.column(7).to_pylist())) <= (1 << 20) + 368 for b in got)
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [(p * 3, 2, False, 7, 1, p, max(0, p - 168), raw[max(0, p - 168) : p + 200]) for p in pos.tolist()]
