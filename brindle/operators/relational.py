@@ -93,6 +93,37 @@ def correlated_aggregate(outer: DataFrame, inner: DataFrame, outer_key: str, inn
     return outer.join(by, outer[outer_key] == F.col("__key"), "left").drop("__key")
 
 
+def placed(df: DataFrame, order: list[Column], path: str, name: str) -> tuple[DataFrame, int]:
+    """df with each row's place in the given order, from 0, and how many rows there are.
+
+    It is written to ``path`` in order, part by part, so that places follow from files and stay, ties included.
+    """
+    df.orderBy(*order).write.parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    sizes = {r.f: r["count"] for r in got.groupBy(part.alias("f")).count().collect()}  # one row a file
+    before, at = [], 0
+    for f in range(max(sizes, default=0) + 1):
+        before.append(at)
+        at += sizes.get(f, 0)
+    return got.select("*", (F.array(*[F.lit(n).cast("long") for n in before])[part] + F.col("_metadata.row_index")).alias(name)), at
+
+
+def sliding(df: DataFrame, n: int, by: list[str], place: str, aggregate: Column, name: str, before: int, after: int, block: int = 256, blocks: int = 16) -> DataFrame:
+    """aggregate over each row's group from ``before`` rows before it to ``after`` rows behind it, for groups of any size.
+
+    A window holds its whole partition, and the buffer that a spill file is read with (1 MB) stays until its task ends. So
+    a partition here is a block of ``block`` places of a group, with the rows beside it that its frames reach, and a
+    task has the next ``blocks`` blocks. df, n, place: from ``placed``, by group first.
+    """
+    at = lambda offset: F.floor((F.col(place) + offset) / block)
+    tasks = max(n - 1 + before, 0) // block // blocks + 1
+    spread = df.withColumn("__block", F.explode(F.sequence(F.greatest(at(-after), F.lit(0)), at(before))))
+    spread = spread.withColumn("__task", F.floor(F.col("__block") / blocks).cast("int")).repartitionById(tasks, "__task")
+    w = Window.partitionBy(*by, "__task", "__block").orderBy(place).rowsBetween(-before, after)
+    return spread.withColumn(name, aggregate.over(w)).filter(F.col("__block") == at(0)).drop("__block", "__task")
+
+
 def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """For each left row the last right ``value`` of its key at or before its time, by one sort of the union.
 
